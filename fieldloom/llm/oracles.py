@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fieldloom.llm import url_filter as _url_filter
+
 _OP1 = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -59,4 +61,4 @@ SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_source_mixing": _OP1, "op10_benchmark_decontamination": _OP10}
+ORACLES: dict[str, str] = {"op1_source_mixing": _OP1, "op3_url_filters": _url_filter.oracle(), "op10_benchmark_decontamination": _OP10}

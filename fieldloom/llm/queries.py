@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldloom.llm import decontaminate as _decontaminate
+from fieldloom.llm import html_extract as _html_extract
+from fieldloom.llm import language_id as _language_id
 from fieldloom.llm import mixing as _mixing
 from fieldloom.llm import oracles
+from fieldloom.llm import url_filter as _url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +22,25 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix_plan(_table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _html_extract.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _url_filter.judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _language_id.identify_languages(_table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.drop("text_key")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_html_extraction, op3_url_filters, op6_language_id, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
