@@ -63,12 +63,19 @@ def _shifted(symbols: np.ndarray, starts: np.ndarray, back: int) -> np.ndarray:
 
 
 def _pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, symbols, offsets) of some rows at a time."""
+    """(first row, last row + 1, symbols, offsets) of some rows at a time.
+
+    Between letters there is one space symbol, however much stands there.
+    """
     at, raw = string_buffers(column)
     table, n, row = byte_symbols(), len(at) - 1, 0
     while row < n:
         stop = min(n, max(row + 1, int(np.searchsorted(at, at[row] + CHUNK_BYTES, side="right")) - 1))
-        yield row, stop, table[raw[at[row] : at[stop]]], at[row : stop + 1] - at[row]
+        symbols, bounds = table[raw[at[row] : at[stop]]], at[row : stop + 1] - at[row]
+        kept = (symbols != 32) | (_shifted(symbols, bounds[:-1], 1) != 32)
+        upto = np.zeros(len(symbols) + 1, dtype=np.int64)
+        np.cumsum(kept, out=upto[1:])
+        yield row, stop, symbols[kept], upto[bounds]
         row = stop
 
 
