@@ -81,4 +81,19 @@ FROM documents d LEFT JOIN sizes s USING (doc_id)
 JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_source_mixing": _OP1, "op3_url_filters": _url_filter.oracle(), "op7_ngram_jaccard_join": _OP7, "op10_benchmark_decontamination": _OP10}
+_OP8 = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, s, md5(array_to_string(w[s : s + 19], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM dw WHERE len(w) >= 20)),
+ranked AS (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS r FROM win),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM ranked WHERE r > 1),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM dw),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t
+  FROM words WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = words.doc_id AND gone.p = words.p) GROUP BY doc_id)
+SELECT dw.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM dw LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_source_mixing": _OP1, "op3_url_filters": _url_filter.oracle(), "op7_ngram_jaccard_join": _OP7, "op8_substring_dedup": _OP8, "op10_benchmark_decontamination": _OP10}

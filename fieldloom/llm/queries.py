@@ -12,6 +12,7 @@ from fieldloom.llm import language_id as _language_id
 from fieldloom.llm import mixing as _mixing
 from fieldloom.llm import near_duplicates as _near_duplicates
 from fieldloom.llm import oracles
+from fieldloom.llm import substring_dedup as _substring_dedup
 from fieldloom.llm import url_filter as _url_filter
 
 
@@ -39,13 +40,17 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near_duplicates.near_duplicate_components(_table(spark, sf_dir, "documents"), width=3, threshold="0.9")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.drop("text_key")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op2_html_extraction, op3_url_filters, op6_language_id, op7_ngram_jaccard_join, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_html_extraction, op3_url_filters, op6_language_id, op7_ngram_jaccard_join, op8_substring_dedup, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
