@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.words import ALNUM_LOWER, chunks, fingerprints, runs
+from fieldloom.llm.words import ALNUM_LOWER, chunks, runs
 from fieldloom.sources.staging import checkpointed
 
 #: Bits of the filter that says whether a word can be a benchmark term.
@@ -34,6 +34,11 @@ def _small(frame: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(frame) if rows <= BROADCAST_ROWS else frame
 
 
+def text_key() -> Column:
+    """Tells rows apart that share a doc_id."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def item_windows(items: DataFrame, id_column: str, window: int) -> DataFrame:
     """One row per window and item: the window's key, its terms and its length."""
 
@@ -90,8 +95,8 @@ def positional_index(docs: DataFrame, bits, reach: int) -> DataFrame:
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "text_key", "term", "position", "around"]
         for batch in batches:
-            ids, prints = batch.column(0), fingerprints(batch.column(1))
-            for c in chunks(batch.column(1), ALNUM_LOWER):
+            ids, prints = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            for c in chunks(batch.column(2), ALNUM_LOWER):
                 kept = np.flatnonzero(bits.value[(c.hashes & low).astype(np.int64)])
                 rows = np.searchsorted(c.first, kept, side="right") - 1
                 lengths = c.counts()
@@ -105,7 +110,7 @@ def positional_index(docs: DataFrame, bits, reach: int) -> DataFrame:
                     packed = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(around).tobytes())])
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(r + c.row)), pa.array(prints[r + c.row]), pa.array(c.hashes[k].view(np.int64)), pa.array((k - c.first[r]).astype(np.int64)), packed], names)
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(post, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, term long, position long, around binary")
+    return docs.select("doc_id", text_key(), F.col("text").cast("string")).mapInArrow(post, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, term long, position long, around binary")
 
 
 def search(index: DataFrame, anchors: DataFrame, n_anchors: int, reach: int, slop: int = 0) -> DataFrame:
@@ -183,3 +188,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, share: in
     out = rows.alias("r").join(covered_words(hits).alias("c"), same("c"), "left").join(named.alias("i"), same("i"), "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return out.select("r.doc_id", "r.text_key", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.sha2(F.coalesce("listed", F.lit("")), 256).alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, with all their columns."""
+    found = decontaminate(docs, items, **options).where("contaminated").select(F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_text")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__bad_id")) & (text_key() == F.col("__bad_text")), "left_anti")

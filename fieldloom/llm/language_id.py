@@ -198,11 +198,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_column: st
     return fit({name: (part["gram"].to_numpy(np.int64), part["n"].to_numpy(np.int64)) for name, part in rows.groupby("lang")}, order)
 
 
-def identify(docs: DataFrame, model: ContextModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Adds lang_pred and score to the columns ``keep``."""
+def identify(docs: DataFrame, model: ContextModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the predicted language and its score to the columns ``keep``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*keep).schema
-    names = [*kept.names, "lang_pred", "score"]
+    columns = [F.col("`" + name.replace("`", "``") + "`") for name in keep]
+    kept = docs.select(*columns).schema
+    names = [*kept.names, *out]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -223,12 +224,18 @@ def identify(docs: DataFrame, model: ContextModel, text: str = "text", keep: tup
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    schema = StructType([*kept.fields]).add("lang_pred", StringType()).add("score", DoubleType())
+    schema = StructType([*kept.fields]).add(out[0], StringType()).add(out[1], DoubleType())
     has_letter = F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*keep, F.col(text).cast("string").alias("__text"), has_letter.alias("__letter")).mapInArrow(predict, schema)
+    return docs.select(*columns, F.col(text).cast("string").alias("__text"), has_letter.alias("__letter")).mapInArrow(predict, schema)
 
 
 def identify_languages(docs: DataFrame, folds: int = 4, fold: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score: trained on and applied to ``docs``."""
     found = identify(docs, train(docs, folds=folds, fold=fold))
     return found.select("doc_id", held_out("doc_id", folds, fold).alias("held_out"), "lang_pred", "score")
+
+
+def drop_unidentified(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` whose text is in a learned language, with all their columns."""
+    found = identify(docs, train(docs, **options), keep=tuple(docs.columns), out=("__lang_pred", "__score"))
+    return found.where(F.col("__lang_pred") != UNKNOWN).drop("__lang_pred", "__score")

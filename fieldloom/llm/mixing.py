@@ -69,18 +69,24 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     return placed.select(id_column, *keep, "size", "source_size", "target", "copies", extra.alias("extra"), (F.col("copies") * F.col("size") + extra).alias("taken"))
 
 
-def materialise(docs: DataFrame, plan: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The mixed rows themselves: one row per repetition, the last one cut short.
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """The mixed rows: the columns of ``docs`` and ``repetition`` from 0.
 
-    The columns of ``docs`` (with cut texts and their n_chars, if it has that
-    column) and ``repetition`` from 0.
+    A document has one row per repetition.  The last one may hold only its
+    first words, joined by one space, with n_chars (if there) to match.
     """
-    joined = docs.join(plan.select(F.col(id_column).alias("__id"), F.col("copies").alias("__copies"), F.col("extra").alias("__extra")), F.col(id_column).eqNullSafe(F.col("__id")))
+    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text", "source"))
+    same = Window.partitionBy("__row")  # rows that are equal take the plan's rows in any order
+    plan = mix_plan(keyed, keep=("__row",), **options).select(F.col("__row").alias("__of"), "copies", "extra", F.row_number().over(Window.partitionBy("__row").orderBy("copies", "extra")).alias("__nth"))
+    plan = plan.select("__of", "__nth", F.col("copies").alias("__copies"), F.col("extra").alias("__extra"))
+    numbered = keyed.withColumn("__turn", F.row_number().over(same.orderBy("__row")))
+    joined = numbered.join(plan, (F.col("__row") == F.col("__of")) & (F.col("__turn") - F.col("__nth") == 0))
     turns = F.col("__copies") + F.when(F.col("__extra") > 0, 1).otherwise(0)
-    repeated = joined.where(turns > 0).withColumn("repetition", F.explode(F.sequence(F.lit(0), (turns - 1).cast("int"))))
+    repeated = joined.where(turns > 0).withColumn("__rep", F.explode(F.sequence(F.lit(0), (turns - 1).cast("int"))))
+    whole = F.col("__rep") < F.col("__copies")
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("__extra").cast("int")), " ")
-    text = F.when(F.col("repetition") < F.col("__copies"), F.col("text")).otherwise(cut)
-    repeated = repeated.withColumn("text", text)
+    repeated = repeated.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
-        repeated = repeated.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return repeated.select(*docs.columns, "repetition")
+        repeated = repeated.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    quoted = ["`" + name.replace("`", "``") + "`" for name in docs.columns]
+    return repeated.select(*quoted, F.col("__rep").alias("repetition"))

@@ -12,6 +12,7 @@ from fieldloom.llm import language_id as _language_id
 from fieldloom.llm import mixing as _mixing
 from fieldloom.llm import near_duplicates as _near_duplicates
 from fieldloom.llm import oracles
+from fieldloom.llm import recurrent_lm as _recurrent_lm
 from fieldloom.llm import substring_dedup as _substring_dedup
 from fieldloom.llm import url_filter as _url_filter
 
@@ -32,6 +33,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _url_filter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _recurrent_lm.score_corpus(_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _language_id.identify_languages(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +55,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op2_html_extraction, op3_url_filters, op6_language_id, op7_ngram_jaccard_join, op8_substring_dedup, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_html_extraction, op3_url_filters, op5_lm_scoring, op6_language_id, op7_ngram_jaccard_join, op8_substring_dedup, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -36,13 +36,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
+from fieldloom.llm.key_filter import member_test
 from fieldloom.llm.words import SPACED, chunks, run_starts, runs
 from fieldloom.sources.staging import checkpointed
 
 RUN_BYTES = 1 << 22
 BUCKET_BYTES = 1 << 23
-FILTER_BITS = 24
 _LAST = np.iinfo(np.int64).max
 _PACKED = "bucket int, run long, n int, places binary, ids binary"
 _NAMES = ["bucket", "run", "n", "places", "ids"]
@@ -234,32 +235,12 @@ def repeated_words(matched: DataFrame, window: int, buckets: int) -> DataFrame:
     return _match(matched.mapInArrow(extend, _PACKED), decide, merge, "row_key long, spans binary")
 
 
-def _member(keys: DataFrame):
-    """A test for row_key with a bit set of fixed size (it may let others through)."""
-    bits = np.zeros(1 << FILTER_BITS, dtype=bool)
-    cells = keys.selectExpr(f"row_key & {(1 << FILTER_BITS) - 1} AS cell").selectExpr("cell >> 5 AS word", "cell & 31 AS bit")
-    for row in cells.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, CAST(bit AS INT)))").alias("mask")).toLocalIterator():
-        for k in range(32):
-            if row.mask >> k & 1:
-                bits[row.word * 32 + k] = True
-    shared = keys.sparkSession.sparkContext.broadcast(np.packbits(bits))
-
-    @F.pandas_udf("boolean")
-    def maybe(key):
-        import pandas as pd
-
-        cell = key.to_numpy() & ((1 << FILTER_BITS) - 1)
-        return pd.Series((shared.value[cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool))
-
-    return maybe
-
-
 def substring_dedup(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document.
 
-    ``keep`` names more columns of ``docs`` to return; ``with_text`` adds
-    kept_text: the text as it is if nothing is removed, else the kept words
-    joined by one space.
+    ``keep`` names more columns of ``docs`` to return.  With ``with_text`` the
+    results are named __words, __removed, __digest, and __kept is the text: as
+    it is if nothing is removed, else the kept words joined by one space.
     """
     block = window // 2
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("b")).first().b
@@ -267,15 +248,16 @@ def substring_dedup(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = (
     bits = min(63, max(24, int(max(1, size // (6 * block))).bit_length() + 14))
     anchored = checkpointed(anchored_windows(docs, window, buckets, bits))
     texts = docs.select(row_key().alias("row_key"), "doc_id", F.col("text").cast("string").alias("text"))
-    matched = texts.where(_member(anchored)("row_key")).join(anchored.withColumnRenamed("row_key", "of"), F.col("row_key") == F.col("of")).select("row_key", F.col("doc_id").cast("long"), "text", "spans")
+    matched = texts.where(member_test(anchored.select("row_key"))("row_key")).join(anchored.withColumnRenamed("row_key", "of"), F.col("row_key") == F.col("of")).select("row_key", F.col("doc_id").cast("long"), "text", "spans")
     repeats = checkpointed(repeated_words(matched, window, buckets))
-    maybe = _member(repeats)
-    kind = {f.name: f.dataType.simpleString() for f in docs.schema}
+    maybe = member_test(repeats.select("row_key"))
     names = [*dict.fromkeys(["doc_id", *keep])]
-    plain = docs.select(row_key().alias("__key"), F.col("text").cast("string").alias("__text"), *names)
-    touched = plain.where(maybe("__key")).join(repeats, F.col("__key") == F.col("row_key"), "left").select("__text", "spans", *names)
-    rest = plain.where(~maybe("__key")).select("__text", F.lit(None).cast("binary").alias("spans"), *names)
-    results = ["n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
+    columns = [F.col("`" + name.replace("`", "``") + "`") for name in names]
+    plain = docs.select(row_key().alias("__key"), F.col("text").cast("string").alias("__text"), *columns)
+    spans = repeats.select(F.col("row_key").alias("__of"), F.col("spans").alias("__spans"))
+    touched = plain.where(maybe("__key")).join(spans, F.col("__key") == F.col("__of"), "left").select("__text", "__spans", *columns)
+    rest = plain.where(~maybe("__key")).select("__text", F.lit(None).cast("binary").alias("__spans"), *columns)
+    results = ["__words", "__removed", "__digest", "__kept"] if with_text else ["n_words", "n_removed", "kept_sha256"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,5 +281,26 @@ def substring_dedup(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = (
             made = [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], *made, *([pa.array(kept_texts, pa.string())] if with_text else [])], [*names, *results])
 
-    schema = ", ".join([*(f"`{n}` {kind[n]}" for n in names), "n_words long", "n_removed long", "kept_sha256 string", *(["kept_text string"] if with_text else [])])
+    schema = StructType([docs.schema[n] for n in names])
+    for name, of in zip(results, (LongType(), LongType(), StringType(), StringType()), strict=False):
+        schema = schema.add(name, of)
     return touched.unionByName(rest).mapInArrow(cut, schema)
+
+
+def cut_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
+    """``docs`` without its repeats, with all its columns.
+
+    Texts that lose nothing stay as they are; the others become their kept words
+    joined by one space, with n_chars (if there) to match.  Documents that lose
+    every word are dropped.
+    """
+    found = substring_dedup(docs, window, keep=tuple(docs.columns), with_text=True).where("__removed = 0 OR __removed < __words")
+    out = []
+    for name in docs.columns:
+        column = F.col("`" + name.replace("`", "``") + "`")
+        if name == "text":
+            column = F.col("__kept").cast(docs.schema["text"].dataType)
+        elif name == "n_chars":
+            column = F.when(F.col("__removed") > 0, F.length("__kept")).otherwise(column).cast(docs.schema["n_chars"].dataType)
+        out.append(column.alias(name))
+    return found.select(*out)

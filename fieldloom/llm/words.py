@@ -204,14 +204,3 @@ def run_starts(first: np.ndarray, width: int) -> np.ndarray:
     skip = np.cumsum(counts) - counts
     return np.arange(counts.sum()) - np.repeat(skip, counts) + np.repeat(first[:-1], counts)
 
-
-def fingerprints(column: pa.Array) -> np.ndarray:
-    """A 64-bit value of the whole text of each row; null and empty are alike."""
-    at, raw = string_buffers(column)
-    out = np.zeros(len(at) - 1, dtype=np.uint64)
-    import xxhash
-
-    view = memoryview(raw)
-    for i in range(len(out)):
-        out[i] = xxhash.xxh3_64_intdigest(view[at[i] : at[i + 1]])
-    return out.view(np.int64)
