@@ -11,6 +11,7 @@ from fieldloom.llm import html_extract as _html_extract
 from fieldloom.llm import language_id as _language_id
 from fieldloom.llm import mixing as _mixing
 from fieldloom.llm import near_duplicates as _near_duplicates
+from fieldloom.llm import nearest_neighbours as _nearest_neighbours
 from fieldloom.llm import oracles
 from fieldloom.llm import recurrent_lm as _recurrent_lm
 from fieldloom.llm import substring_dedup as _substring_dedup
@@ -49,13 +50,17 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest_neighbours.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.drop("text_key")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op2_html_extraction, op3_url_filters, op5_lm_scoring, op6_language_id, op7_ngram_jaccard_join, op8_substring_dedup, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_html_extraction, op3_url_filters, op5_lm_scoring, op6_language_id, op7_ngram_jaccard_join, op8_substring_dedup, op9_nearest_neighbours, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
