@@ -35,10 +35,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.components import connected_components
+from fieldloom.llm.key_filter import member_test
 from fieldloom.llm.words import SPACED_LOWER, Chunk, chunks, mix, run_starts, runs
 from fieldloom.sources.staging import checkpointed
 
@@ -48,11 +49,14 @@ BLOCK_BITS = 16
 FREQUENT = 48
 PAIR_PREFIX = 40
 PARITY_BITS = 1024
-#: Bits of the filter that tells which documents' sets are needed.
-NODE_BITS = 24
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
+def text_key() -> Column:
+    """Tells rows apart that share a doc_id."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def shingle_sets(c: Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, shingle) without repeats, sorted by row and shingle."""
     at = run_starts(c.first, width)
@@ -87,26 +91,26 @@ def _set_keys(n_rows: int, rows: np.ndarray, values: np.ndarray) -> tuple[np.nda
 
 def describe_and_count(docs: DataFrame, width: int) -> DataFrame:
     """One pass: a row for each document, and the task's shingle counts by block."""
-    names = ["doc_id", "n_shingles", "node", "check", "block", "counts"]
+    names = ["doc_id", "text_key", "n_shingles", "node", "check", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         for batch in batches:
-            for c in chunks(batch.column(1), SPACED_LOWER):
+            for c in chunks(batch.column(2), SPACED_LOWER):
                 rows, values = shingle_sets(c, width)
                 sizes, one, two = _set_keys(c.n, rows, values)
                 cells += np.bincount((values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(cells)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.row, c.n), pa.array(sizes.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.nulls(c.n, pa.int32()), pa.nulls(c.n, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.row, c.n), batch.column(1).slice(c.row, c.n), pa.array(sizes.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.nulls(c.n, pa.int32()), pa.nulls(c.n, pa.binary())], names)
         if cells.any():
             blocks = cells.reshape(-1, 1 << BLOCK_BITS)
             packed = [zlib.compress(b.tobytes(), 1) for b in blocks]
             k = len(packed)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), *[pa.nulls(k, pa.int64()) for _ in range(3)], pa.array(range(k), pa.int32()), pa.array(packed, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), *[pa.nulls(k, pa.int64()) for _ in range(4)], pa.array(range(k), pa.int32()), pa.array(packed, pa.binary())], names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(docs.schema["doc_id"].dataType)
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, check long, block int, counts binary")
+    return docs.select("doc_id", text_key(), F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, n_shingles long, node long, check long, block int, counts binary")
 
 
 def frequency_classes(described: DataFrame) -> tuple[np.ndarray, int]:
@@ -274,45 +278,44 @@ def cross_pairs(buckets: DataFrame, labels: DataFrame, threshold: Fraction, part
     return open_rows.repartition(partitions, "key").sortWithinPartitions("key", "n", "node").mapInArrow(pairs, "a long, b long").distinct()
 
 
-def needed_sets(docs: DataFrame, width: int, pairs: DataFrame) -> DataFrame:
-    """(node, n, parity, shingles) of the nodes in ``pairs``."""
-    bits = np.zeros(1 << NODE_BITS, dtype=bool)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    cells = nodes.selectExpr(f"node & {(1 << NODE_BITS) - 1} AS cell").selectExpr("cell >> 5 AS word", "cell & 31 AS bit")
-    for row in cells.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, CAST(bit AS INT)))").alias("mask")).toLocalIterator():
-        for k in range(32):
-            if row.mask >> k & 1:
-                bits[row.word * 32 + k] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+def described_nodes(docs: DataFrame, width: int, nodes: DataFrame, whole: bool) -> DataFrame:
+    """(node, n, value) of the nodes; ``nodes``: node, text_key of a text that has it.
+
+    ``value`` is the shingles, or the parities of their hashes.  Only the texts
+    that the filter lets through are read as text; repeats of a node may occur.
+    """
+    maybe = member_test(nodes.select("text_key"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            for c in chunks(batch.column(0), SPACED_LOWER):
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for c in chunks(batch.column(1), SPACED_LOWER):
                 rows, values = shingle_sets(c, width)
                 sizes, node, _ = _set_keys(c.n, rows, values)
                 begin = np.cumsum(sizes) - sizes
-                take = np.flatnonzero((sizes > 0) & wanted[(node & np.uint64((1 << NODE_BITS) - 1)).astype(np.int64)])
-                _, own = np.unique(node[take], return_index=True)
-                take = take[own]
-                if len(take):
-                    sets = [values[begin[i] : begin[i] + sizes[i]] for i in take]
-                    parity = [np.packbits(np.bincount((s % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes() for s in sets]
-                    yield pa.RecordBatch.from_arrays([pa.array(node[take].view(np.int64)), pa.array(sizes[take].astype(np.int64)), pa.array(parity, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "parity", "shingles"])
+                take = np.flatnonzero(sizes > 0)
+                sets = [values[begin[i] : begin[i] + sizes[i]] for i in take]
+                if not whole:
+                    sets = [np.packbits(np.bincount((s % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[c.row + take]), pa.array(node[take].view(np.int64)), pa.array(sizes[take].astype(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "node", "n", "value"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(gather, "node long, n long, parity binary, shingles binary").dropDuplicates(["node"])
+    keyed = docs.select(text_key().alias("key"), F.col("text").cast("string").alias("text")).where(maybe("key"))
+    read = keyed.mapInArrow(gather, "key long, node long, n long, value binary")
+    return read.join(nodes.select(F.col("node").alias("of"), "text_key"), (F.col("node") == F.col("of")) & (F.col("key") == F.col("text_key")), "left_semi").select("node", "n", "value")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+def linked(docs: DataFrame, width: int, pairs: DataFrame, rows: DataFrame, threshold: Fraction) -> DataFrame:
     """The pairs (a, b) whose similarity reaches the threshold, exactly."""
     num, den = threshold.numerator, threshold.denominator
 
-    def side(column: str, of: str, alias: str) -> DataFrame:
-        return sets.select(F.col("node").alias(f"of_{column}"), F.col("n").alias(f"n_{column}"), F.col(of).alias(alias))
+    def nodes_of(frame: DataFrame) -> DataFrame:
+        wanted = frame.select(F.explode(F.array("a", "b")).alias("want")).distinct()
+        return checkpointed(rows.join(wanted, F.col("node") == F.col("want"), "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key")))
 
-    def join(frame: DataFrame, of: str) -> DataFrame:
+    def with_values(frame: DataFrame, values: DataFrame) -> DataFrame:
         for column in ("a", "b"):
-            frame = frame.join(side(column, of, f"set_{column}"), F.col(column) == F.col(f"of_{column}"))
+            side = values.select(F.col("node").alias(f"of_{column}"), F.col("n").alias(f"n_{column}"), F.col("value").alias(f"set_{column}"))
+            frame = frame.join(side, F.col(column) == F.col(f"of_{column}")).drop(f"of_{column}")
         return frame.select("a", "b", "n_a", "n_b", "set_a", "set_b")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,14 +337,16 @@ def linked(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
                 keep.append(den * common >= num * (len(x) + len(y) - common))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    near = join(pairs, "parity").mapInArrow(bound, "a long, b long")
-    return join(near, "shingles").mapInArrow(exact, "a long, b long")
+    parities = described_nodes(docs, width, nodes_of(pairs), whole=False)
+    near = checkpointed(with_values(pairs, parities).mapInArrow(bound, "a long, b long").distinct())
+    sets = described_nodes(docs, width, nodes_of(near), whole=True)
+    return with_values(near, sets).mapInArrow(exact, "a long, b long").distinct()
 
 
-def near_duplicate_components(docs: DataFrame, width: int = 5, threshold: str = "0.8") -> DataFrame:
-    """doc_id, n_shingles, component_id of every document.
+def labelled_rows(docs: DataFrame, width: int, threshold: str) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component) of every row; see near_duplicate_components.
 
-    ``threshold`` is written as a decimal, is above 0.5, and is compared exactly.
+    ``component`` is a node of the component, and null for empty sets.
     """
     limit = Fraction(threshold)
     if not Fraction(1, 2) < limit <= 1:
@@ -349,7 +354,7 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, threshold: str =
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     described = checkpointed(describe_and_count(docs, width))
-    rows = described.where(F.col("block").isNull()).select("doc_id", "n_shingles", "node", "check")
+    rows = described.where(F.col("block").isNull()).select("doc_id", "text_key", "n_shingles", "node", "check")
     if rows.where("n_shingles > 0").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low < high").limit(1).count():
         raise ValueError("two different sets have one 64-bit key")
     classes, rare = frequency_classes(described)
@@ -358,20 +363,46 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, threshold: str =
     pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     first = buckets.select(F.explode(F.array(F.when(F.col("leader").isNotNull(), pair(F.col("leader"), F.col("node"))), F.when(F.col("before").isNotNull(), pair(F.col("before"), F.col("node"))))).alias("pair")).where("pair IS NOT NULL").select("pair.*").distinct()
     first = checkpointed(first)
-    sets = checkpointed(needed_sets(docs, width, first))
-    links = checkpointed(linked(first, sets, limit))
+    links = checkpointed(linked(docs, width, first, rows, limit))
     labels = connected_components(links)
     second = checkpointed(cross_pairs(buckets, labels, limit, partitions).join(first, ["a", "b"], "left_anti"))
     if second.limit(1).count():
-        known = sets.select(F.col("node").alias("known"))
-        missing = second.select(F.explode(F.array("a", "b")).alias("a")).distinct().join(known, F.col("a") == F.col("known"), "left_anti").select("a", F.col("a").alias("b"))
-        more = checkpointed(missing)
-        if more.limit(1).count():
-            sets = sets.unionByName(checkpointed(needed_sets(docs, width, more).join(known, F.col("node") == F.col("known"), "left_anti")))
-        links = links.unionByName(checkpointed(linked(second, sets, limit)))
+        links = links.unionByName(checkpointed(linked(docs, width, second, rows, limit)))
         labels = connected_components(links)
-    own = rows.join(labels.select(F.col("node").alias("of"), "component"), (F.col("node") == F.col("of")) & (F.col("n_shingles") > 0), "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))
-    full = own.where("n_shingles > 0")
-    smallest = full.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    found = full.join(smallest, "component").select("doc_id", "n_shingles", "component_id")
-    return found.unionByName(own.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    own = (F.col("node") == F.col("of")) & (F.col("n_shingles") > 0)
+    label = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node"))
+    return rows.join(labels.select(F.col("node").alias("of"), "component"), own, "left").select("doc_id", "text_key", "n_shingles", label.alias("component"))
+
+
+def near_duplicate_components(docs: DataFrame, width: int = 5, threshold: str = "0.8") -> DataFrame:
+    """doc_id, n_shingles, component_id of every document.
+
+    ``threshold`` is written as a decimal, is above 0.5, and is compared exactly.
+    """
+    rows = labelled_rows(docs, width, threshold)
+    smallest = rows.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    found = rows.where("component IS NOT NULL").join(smallest, "component").select("doc_id", "n_shingles", "component_id")
+    return found.unionByName(rows.where("component IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8") -> DataFrame:
+    """One row of each component, that of the smallest doc_id, with all columns.
+
+    Null ids come last; rows that repeat the id are ordered by a hash of their
+    text.  Rows without words are all kept.
+    """
+    rows = checkpointed(labelled_rows(docs, width, threshold))
+    full = rows.where("component IS NOT NULL")
+    chosen = full.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("first")).select("first.doc_id", "first.text_key")
+    times = full.groupBy("doc_id", "text_key").agg(F.count("*").alias("times"))
+    same = F.col("c.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("c.text_key") == F.col("t.text_key"))
+    kept = chosen.alias("c").join(times.alias("t"), same).select(F.col("c.doc_id").alias("__id"), F.col("c.text_key").alias("__of"), "times")
+    empty = rows.where("component IS NULL").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__of")).distinct()
+    keyed = docs.withColumn("__key", text_key())
+    match = keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of"))
+    single = keyed.join(kept.where("times = 1").drop("times").unionByName(empty), match, "left_semi")
+    several = kept.where("times > 1")
+    if several.limit(1).count():
+        repeated = keyed.join(several, match).dropDuplicates(["__id", "__of"]).select(single.columns)
+        single = single.unionByName(repeated)
+    return single.drop("__key")
