@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldloom.llm import chat_format as _chat_format
 from fieldloom.llm import decontaminate as _decontaminate
 from fieldloom.llm import html_extract as _html_extract
 from fieldloom.llm import language_id as _language_id
@@ -34,6 +35,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _url_filter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chat_format.parse_transcripts(_chat_format.as_transcript(_table(spark, sf_dir, "conversations")))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _recurrent_lm.score_corpus(_table(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op2_html_extraction, op3_url_filters, op5_lm_scoring, op6_language_id, op7_ngram_jaccard_join, op8_substring_dedup, op9_nearest_neighbours, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_html_extraction, op3_url_filters, op4_chat_formatting, op5_lm_scoring, op6_language_id, op7_ngram_jaccard_join, op8_substring_dedup, op9_nearest_neighbours, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
