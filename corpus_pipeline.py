@@ -1,8 +1,66 @@
-"""The corpus pipeline (being built)."""
+"""A corpus pipeline of five stages over ``documents``.
 
-ORACLE_SQL = None
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet and reread as the next stage's ``docs``.  The stages keep
+every column of ``documents``; the last one adds ``repetition``.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from fieldloom.llm.decontaminate import drop_contaminated
+from fieldloom.llm.language_id import drop_unidentified
+from fieldloom.llm.mixing import mix
+from fieldloom.llm.near_duplicates import drop_near_duplicates
+from fieldloom.llm.substring_dedup import cut_repeats
+from fieldloom.sources.staging import ensure_checkpoint_dir
+
+#: Language ID can't be expressed in SQL; the tests hold the stages against brute force.
+ORACLE_SQL: str | None = None
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without text in a language that the labels teach."""
+    return drop_unidentified(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group (shingles of 5 words, similarity 0.8)."""
+    return drop_near_duplicates(docs, width=5, threshold="0.8")
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts out words in windows of 20 that also start earlier."""
+    return cut_repeats(docs, window=20)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of which 5 % of the words or more are benchmark windows."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or samples documents so that the sources meet their targets."""
+    return mix(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("source_mixing", source_mixing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the last stage makes of ``documents``."""
+    base = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
+        docs = spark.read.parquet(f"{base}/{k}-{name}")
+    return docs

@@ -13,11 +13,12 @@ component.
    Rare shingles of the first prefix are indexed singly; from the extended
    prefix, frequent shingles are indexed in pairs (singly for sets whose prefix
    is longer than ``PAIR_PREFIX``, for which pairs would be too many).
-4. In every bucket of the index, each node is first compared with the bucket's
-   leader (the node with the fewest rarer shingles) and its neighbour.  The
-   links found join most nodes; then only pairs of nodes still in different
-   components are compared, and all of those.  So no link that matters is lost,
-   and a large group of copies isn't expanded into all its pairs.
+4. Each node is first compared with the leader of its buckets (the node with
+   the fewest rarer shingles) and the neighbour that it meets most often.  The
+   links found join most nodes.  Of the pairs of a bucket's nodes still in
+   different components, first each node's likeliest and then all are compared.
+   So no link that matters is lost, and a large group of copies isn't expanded
+   into all its pairs.
 5. Candidates are verified: first by a lower bound of the symmetric difference
    (parities of hashed shingles), then by the exact sizes.
 
@@ -39,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.components import connected_components
-from fieldloom.llm.key_filter import member_test
+from fieldloom.llm.key_filter import may_contain, member_masks
 from fieldloom.llm.words import SPACED_LOWER, Chunk, chunks, mix, run_starts, runs
 from fieldloom.sources.staging import checkpointed
 
@@ -242,81 +243,124 @@ def shared_buckets(postings: DataFrame, threshold: Fraction, partitions: int) ->
     return dealt.mapInArrow(run, "key long, rank int, n int, node long, leader long, before long")
 
 
-def cross_pairs(buckets: DataFrame, labels: DataFrame, threshold: Fraction, partitions: int) -> DataFrame:
-    """Pairs of a bucket's nodes that are in different components so far."""
-    num, den = threshold.numerator, threshold.denominator
+def first_partners(buckets: DataFrame) -> DataFrame:
+    """(a, b): each node with the leader, and with the neighbour, that it meets most often."""
+    out = None
+    for column in ("leader", "before"):
+        met = buckets.where(F.col(column).isNotNull()).groupBy("node", F.col(column).alias("other")).agg(F.count("*").alias("times"))
+        best = met.groupBy("node").agg(F.max(F.struct("times", "other")).alias("best")).select("node", F.col("best.other").alias("other"))
+        out = best if out is None else out.unionByName(best)
+    return out.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets whose nodes are in more than one component so far."""
     labelled = buckets.select("key", "rank", "n", "node").join(labels.select(F.col("node").alias("of"), "component"), F.col("node") == F.col("of"), "left").select("key", "rank", "n", "node", F.coalesce("component", "node").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(F.col("key").alias("mixed"))
-    open_rows = labelled.join(mixed, F.col("key") == F.col("mixed"), "left_semi")
+    return labelled.join(mixed, F.col("key") == F.col("mixed"), "left_semi")
+
+
+def cross_pairs(rows: DataFrame, parities: DataFrame, threshold: Fraction, partitions: int, every: bool) -> DataFrame:
+    """Pairs of a bucket's nodes in different components that may be linked.
+
+    ``rows``: open_buckets.  The parities are compared inside the bucket, so that
+    pairs which differ too much never leave it.  Without ``every`` a node gives
+    its likeliest pair only.
+    """
+    num, den = threshold.numerator, threshold.denominator
+    described = rows.join(parities.select(F.col("node").alias("of"), F.col("value").alias("parity")), F.col("node") == F.col("of")).select("key", "rank", "n", "node", "component", "parity")
+    words = PARITY_BITS // 64
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def cut(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            bounds = np.flatnonzero(np.diff(rows[0], prepend=rows[0, 0] - 1 if rows.shape[1] else 0))
+        def cut(rows: np.ndarray, parity: np.ndarray) -> Iterator[pa.RecordBatch]:
+            bounds = np.flatnonzero(np.diff(rows[0], prepend=rows[0, 0] - 1))
             left, right = [], []
             for a, b in zip(bounds, [*bounds[1:], rows.shape[1]], strict=True):
                 _, rank, n, node, component = rows[:, a:b]
-                for i in range(b - a - 1):
-                    ok = (component[i + 1 :] != component[i]) & _can_link(n[i], n[i + 1 :], rank[i], rank[i + 1 :], num, den)
-                    if ok.any():
-                        other = node[i + 1 :][ok]
-                        left.append(np.minimum(node[i], other))
-                        right.append(np.maximum(node[i], other))
+                own = parity[a:b]
+                names, members = np.unique(component, return_counts=True)
+                if len(names) < 2:
+                    continue
+                # pairs inside the largest component need no look
+                for i in np.flatnonzero(component != names[members.argmax()]):
+                    ok = (component != component[i]) & _can_link(n[i], n, rank[i], rank, num, den)
+                    at = np.flatnonzero(ok)
+                    if not len(at):
+                        continue
+                    differ = np.bitwise_count(own[at] ^ own[i]).sum(axis=1)
+                    good = differ * (num + den) <= (den - num) * (n[at] + n[i])
+                    if not good.any():
+                        continue
+                    other = node[at[good]] if every else node[at[good]][differ[good].argmin()][None]
+                    left.append(np.minimum(node[i], other))
+                    right.append(np.maximum(node[i], other))
             if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+                found = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
 
-        rest = np.zeros((5, 0), dtype=np.int64)
+        rest, rest_parity = np.zeros((5, 0), dtype=np.int64), np.zeros((0, words), dtype=np.uint64)
         for batch in batches:
-            rows = np.concatenate([rest, np.array([x.to_numpy(zero_copy_only=False) for x in batch.columns], dtype=np.int64)], axis=1)
+            rows = np.concatenate([rest, np.array([x.to_numpy(zero_copy_only=False) for x in batch.columns[:5]], dtype=np.int64)], axis=1)
+            parity = np.concatenate([rest_parity, np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint64).reshape(-1, words)])
             if rows.shape[1]:
-                whole = int(np.searchsorted(-(rows[0] != rows[0, -1]).astype(int), 0))
+                whole = int(np.argmax(rows[0] == rows[0, -1]))
                 if whole:
-                    yield from cut(rows[:, :whole])
-                rest = rows[:, whole:]
+                    yield from cut(rows[:, :whole], parity[:whole])
+                rest, rest_parity = rows[:, whole:], parity[whole:]
         if rest.shape[1]:
-            yield from cut(rest)
+            yield from cut(rest, rest_parity)
 
-    return open_rows.repartition(partitions, "key").sortWithinPartitions("key", "n", "node").mapInArrow(pairs, "a long, b long").distinct()
+    return described.repartition(partitions, "key").sortWithinPartitions("key", "n", "node").mapInArrow(pairs, "a long, b long").distinct()
 
 
 def described_nodes(docs: DataFrame, width: int, nodes: DataFrame, whole: bool) -> DataFrame:
     """(node, n, value) of the nodes; ``nodes``: node, text_key of a text that has it.
 
     ``value`` is the shingles, or the parities of their hashes.  Only the texts
-    that the filter lets through are read as text; repeats of a node may occur.
+    that the filter lets through are cut into words.
     """
-    maybe = member_test(nodes.select("text_key"))
+    maybe = member_masks(nodes.select("text_key"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(may_contain(maybe.value, batch.column(0).to_numpy(zero_copy_only=False))))
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for c in chunks(batch.column(1), SPACED_LOWER):
                 rows, values = shingle_sets(c, width)
                 sizes, node, _ = _set_keys(c.n, rows, values)
                 begin = np.cumsum(sizes) - sizes
-                take = np.flatnonzero(sizes > 0)
+                _, own = np.unique(node, return_index=True)  # copies of a text have one set
+                take = own[sizes[own] > 0]
                 sets = [values[begin[i] : begin[i] + sizes[i]] for i in take]
                 if not whole:
                     sets = [np.packbits(np.bincount((s % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1) for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[c.row + take]), pa.array(node[take].view(np.int64)), pa.array(sizes[take].astype(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "node", "n", "value"])
 
-    keyed = docs.select(text_key().alias("key"), F.col("text").cast("string").alias("text")).where(maybe("key"))
+    keyed = docs.select(text_key().alias("key"), F.col("text").cast("string").alias("text"))
     read = keyed.mapInArrow(gather, "key long, node long, n long, value binary")
-    return read.join(nodes.select(F.col("node").alias("of"), "text_key"), (F.col("node") == F.col("of")) & (F.col("key") == F.col("text_key")), "left_semi").select("node", "n", "value")
+    return read.join(nodes.select(F.col("node").alias("of"), "text_key"), (F.col("node") == F.col("of")) & (F.col("key") == F.col("text_key")), "left_semi").select("node", "n", "value").dropDuplicates(["node"])
 
 
-def linked(docs: DataFrame, width: int, pairs: DataFrame, rows: DataFrame, threshold: Fraction) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches the threshold, exactly."""
-    num, den = threshold.numerator, threshold.denominator
+def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text_key) for the distinct nodes of a one-column frame."""
+    nodes = wanted.select(F.col(wanted.columns[0]).alias("want")).distinct()
+    return checkpointed(rows.join(nodes, F.col("node") == F.col("want"), "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key")))
 
-    def nodes_of(frame: DataFrame) -> DataFrame:
-        wanted = frame.select(F.explode(F.array("a", "b")).alias("want")).distinct()
-        return checkpointed(rows.join(wanted, F.col("node") == F.col("want"), "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key")))
 
-    def with_values(frame: DataFrame, values: DataFrame) -> DataFrame:
-        for column in ("a", "b"):
-            side = values.select(F.col("node").alias(f"of_{column}"), F.col("n").alias(f"n_{column}"), F.col("value").alias(f"set_{column}"))
-            frame = frame.join(side, F.col(column) == F.col(f"of_{column}")).drop(f"of_{column}")
-        return frame.select("a", "b", "n_a", "n_b", "set_a", "set_b")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
+def _with_values(frame: DataFrame, values: DataFrame) -> DataFrame:
+    for column in ("a", "b"):
+        side = values.select(F.col("node").alias(f"of_{column}"), F.col("n").alias(f"n_{column}"), F.col("value").alias(f"set_{column}"))
+        frame = frame.join(side, F.col(column) == F.col(f"of_{column}")).drop(f"of_{column}")
+    return frame.select("a", "b", "n_a", "n_b", "set_a", "set_b")
+
+
+def near_enough(pairs: DataFrame, parities: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs whose parities don't rule them out."""
+    num, den = threshold.numerator, threshold.denominator
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,6 +370,13 @@ def linked(docs: DataFrame, width: int, pairs: DataFrame, rows: DataFrame, thres
                 keep.append(differ * (num + den) <= (den - num) * (n_a + n_b))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
+    return _with_values(pairs, parities).mapInArrow(bound, "a long, b long").distinct()
+
+
+def linked(docs: DataFrame, width: int, near: DataFrame, rows: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs (a, b) whose similarity reaches the threshold, by their whole sets."""
+    num, den = threshold.numerator, threshold.denominator
+
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -337,10 +388,8 @@ def linked(docs: DataFrame, width: int, pairs: DataFrame, rows: DataFrame, thres
                 keep.append(den * common >= num * (len(x) + len(y) - common))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    parities = described_nodes(docs, width, nodes_of(pairs), whole=False)
-    near = checkpointed(with_values(pairs, parities).mapInArrow(bound, "a long, b long").distinct())
-    sets = described_nodes(docs, width, nodes_of(near), whole=True)
-    return with_values(near, sets).mapInArrow(exact, "a long, b long").distinct()
+    sets = described_nodes(docs, width, texts_of(rows, _ends(near)), whole=True)
+    return _with_values(near, sets).mapInArrow(exact, "a long, b long").distinct()
 
 
 def labelled_rows(docs: DataFrame, width: int, threshold: str) -> DataFrame:
@@ -360,15 +409,23 @@ def labelled_rows(docs: DataFrame, width: int, threshold: str) -> DataFrame:
     classes, rare = frequency_classes(described)
     postings = prefix_postings(docs, width, limit, spark.sparkContext.broadcast(classes), rare)
     buckets = checkpointed(shared_buckets(postings, limit, partitions))
-    pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    first = buckets.select(F.explode(F.array(F.when(F.col("leader").isNotNull(), pair(F.col("leader"), F.col("node"))), F.when(F.col("before").isNotNull(), pair(F.col("before"), F.col("node"))))).alias("pair")).where("pair IS NOT NULL").select("pair.*").distinct()
-    first = checkpointed(first)
-    links = checkpointed(linked(docs, width, first, rows, limit))
+    first = checkpointed(first_partners(buckets))
+    parities = checkpointed(described_nodes(docs, width, texts_of(rows, _ends(first)), whole=False))
+    near = checkpointed(near_enough(first, parities, limit))
+    links = checkpointed(linked(docs, width, near, rows, limit))
     labels = connected_components(links)
-    second = checkpointed(cross_pairs(buckets, labels, limit, partitions).join(first, ["a", "b"], "left_anti"))
-    if second.limit(1).count():
-        links = links.unionByName(checkpointed(linked(docs, width, second, rows, limit)))
-        labels = connected_components(links)
+    tried = near
+    for every in (False, True):
+        open_rows = checkpointed(open_buckets(buckets, labels))
+        lacking = open_rows.select("node").distinct().join(parities.select(F.col("node").alias("known")), F.col("node") == F.col("known"), "left_anti")
+        more = texts_of(rows, lacking)
+        if more.limit(1).count():
+            parities = parities.unionByName(checkpointed(described_nodes(docs, width, more, whole=False)))
+        near = checkpointed(cross_pairs(open_rows, parities, limit, partitions, every).join(tried, ["a", "b"], "left_anti"))
+        if near.limit(1).count():
+            links = links.unionByName(checkpointed(linked(docs, width, near, rows, limit)))
+            labels = connected_components(links)
+            tried = tried.unionByName(near)
     own = (F.col("node") == F.col("of")) & (F.col("n_shingles") > 0)
     label = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node"))
     return rows.join(labels.select(F.col("node").alias("of"), "component"), own, "left").select("doc_id", "text_key", "n_shingles", label.alias("component"))

@@ -15,6 +15,8 @@ import pyarrow as pa
 
 #: Bytes of text that are hashed at once; one longer document is taken alone.
 CHUNK_BYTES = 1 << 21
+#: Bytes whose hash terms are held at once.
+HASH_BYTES = 1 << 18
 
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
@@ -74,7 +76,7 @@ def _byte_values(rule: WordRule) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least ``n``."""
     if "powers" not in _tables or len(_tables["powers"][0]) < n:
-        size = max(n, CHUNK_BYTES)
+        size = max(n, HASH_BYTES)
         out = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(size, base, dtype=np.uint64)
@@ -140,6 +142,26 @@ def chunks(column: pa.Array, rule: WordRule, hashed: bool = True, size: int = CH
         row = stop
 
 
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Polynomial hashes, for as many words at once as fill HASH_BYTES."""
+    out = np.empty(len(start), dtype=np.uint64)
+    at = 0
+    while at < len(start):
+        stop = max(at + 1, int(np.searchsorted(end, start[at] + HASH_BYTES, side="right")))
+        low = int(start[at])
+        span = int(end[stop - 1]) - low
+        up, down = _powers(span)
+        terms = values[data[low : low + span]]
+        terms *= up[:span]
+        total = np.empty(span + 1, dtype=np.uint64)
+        total[0] = 0
+        np.cumsum(terms, out=total[1:])
+        begin = start[at:stop] - low
+        out[at:stop] = (total[end[at:stop] - low] - total[begin]) * down[begin]
+        at = stop
+    return mix(out)
+
+
 def _chunk(row: int, data: np.ndarray, bounds: np.ndarray, member: np.ndarray, values: np.ndarray | None) -> Chunk:
     if len(data) == 0:
         none = np.zeros(0, dtype=np.int64)
@@ -155,17 +177,7 @@ def _chunk(row: int, data: np.ndarray, bounds: np.ndarray, member: np.ndarray, v
     ends[tail] = inside[tail]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     first = np.searchsorted(start, bounds)
-    hashes = None
-    if values is not None:
-        up, down = _powers(len(data))
-        terms = values[data]
-        terms *= up[: len(data)]
-        total = np.empty(len(data) + 1, dtype=np.uint64)
-        total[0] = 0
-        np.cumsum(terms, out=total[1:])
-        hashes = total[end] - total[start]
-        hashes *= down[start]
-        hashes = mix(hashes)
+    hashes = None if values is None else _word_hashes(data, start, end, values)
     return Chunk(row, data, bounds, first, start, end, hashes)
 
 
