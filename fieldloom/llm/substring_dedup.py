@@ -38,11 +38,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from fieldloom.llm.key_filter import member_test
+from fieldloom.llm.key_filter import may_contain, member_masks, passing
 from fieldloom.llm.words import SPACED, chunks, run_starts, runs
 from fieldloom.sources.staging import checkpointed
 
-RUN_BYTES = 1 << 22
+RUN_BYTES = 1 << 21
 BUCKET_BYTES = 1 << 23
 _LAST = np.iinfo(np.int64).max
 _PACKED = "bucket int, run long, n int, places binary, ids binary"
@@ -158,6 +158,8 @@ def _match(packed: DataFrame, decide, merge, schema: str) -> DataFrame:
         order = np.lexsort((place, doc))
         doc, place = doc[order], place[order]
         begin = np.flatnonzero(np.diff(doc, prepend=-1))
+        if not len(doc):
+            return pa.table({"row_key": pa.array([], pa.int64()), "spans": pa.array([], pa.binary())})
         spans = [merge(place[a:b]) for a, b in zip(begin, np.append(begin[1:], len(doc)), strict=True)]
         return pa.table({"row_key": pa.array(row_keys[doc[begin]]), "spans": pa.array(spans, pa.binary())})
 
@@ -248,15 +250,14 @@ def substring_dedup(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = (
     bits = min(63, max(24, int(max(1, size // (6 * block))).bit_length() + 14))
     anchored = checkpointed(anchored_windows(docs, window, buckets, bits))
     texts = docs.select(row_key().alias("row_key"), "doc_id", F.col("text").cast("string").alias("text"))
-    matched = texts.where(member_test(anchored.select("row_key"))("row_key")).join(anchored.withColumnRenamed("row_key", "of"), F.col("row_key") == F.col("of")).select("row_key", F.col("doc_id").cast("long"), "text", "spans")
+    matched = passing(texts, member_masks(anchored.select("row_key")), "row_key").join(anchored.withColumnRenamed("row_key", "of"), F.col("row_key") == F.col("of")).select("row_key", F.col("doc_id").cast("long"), "text", "spans")
     repeats = checkpointed(repeated_words(matched, window, buckets))
-    maybe = member_test(repeats.select("row_key"))
+    maybe = member_masks(repeats.select("row_key"))
     names = [*dict.fromkeys(["doc_id", *keep])]
     columns = [F.col("`" + name.replace("`", "``") + "`") for name in names]
     plain = docs.select(row_key().alias("__key"), F.col("text").cast("string").alias("__text"), *columns)
     spans = repeats.select(F.col("row_key").alias("__of"), F.col("spans").alias("__spans"))
-    touched = plain.where(maybe("__key")).join(spans, F.col("__key") == F.col("__of"), "left").select("__text", "__spans", *columns)
-    rest = plain.where(~maybe("__key")).select("__text", F.lit(None).cast("binary").alias("__spans"), *columns)
+    touched = passing(plain, maybe, "__key").join(spans, F.col("__key") == F.col("__of"), "left").select("__text", "__spans", *columns)
     results = ["__words", "__removed", "__digest", "__kept"] if with_text else ["n_words", "n_removed", "kept_sha256"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +285,13 @@ def substring_dedup(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = (
     schema = StructType([docs.schema[n] for n in names])
     for name, of in zip(results, (LongType(), LongType(), StringType(), StringType()), strict=False):
         schema = schema.add(name, of)
-    return touched.unionByName(rest).mapInArrow(cut, schema)
+    def cut_untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.filter(pa.array(~may_contain(maybe.value, batch["__key"].to_numpy(zero_copy_only=False))))
+            spans = pa.nulls(rest.num_rows, pa.binary())
+            yield from cut(iter([pa.RecordBatch.from_arrays([rest.column(1), spans, *rest.columns[2:]], ["__text", "__spans", *names])]))
+
+    return touched.mapInArrow(cut, schema).unionByName(plain.mapInArrow(cut_untouched, schema))
 
 
 def cut_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
