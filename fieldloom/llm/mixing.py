@@ -66,7 +66,8 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     placed = sized.withColumn("__inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(starts, F.col("__source").eqNullSafe(F.col("__of2")) & (F.col("__part") == F.col("__part2"))).join(plan, F.col("__source").eqNullSafe(F.col("__of")))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__rest") - F.col("__before") - F.col("__inside")))
-    return placed.select(id_column, *keep, "size", "source_size", "target", "copies", extra.alias("extra"), (F.col("copies") * F.col("size") + extra).alias("taken"))
+    copies = F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(0)).cast("long")
+    return placed.select(id_column, *keep, "size", "source_size", "target", copies.alias("copies"), extra.alias("extra"), (copies * F.col("size") + extra).alias("taken"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -30,7 +30,7 @@ plan AS (
          CASE WHEN source_size > 0 THEN floor(round(target) / source_size)::BIGINT ELSE 0 END AS copies FROM goals),
 placed AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY draw, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sized)
-SELECT doc_id, size, source_size, target, copies,
+SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN copies ELSE 0 END AS copies,
        greatest(0, least(size, goal - copies * source_size - before))::BIGINT AS extra,
        (copies * size + greatest(0, least(size, goal - copies * source_size - before)))::BIGINT AS taken
 FROM placed JOIN plan ON placed.source IS NOT DISTINCT FROM plan.source

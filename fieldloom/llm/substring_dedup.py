@@ -20,9 +20,9 @@ third of all documents share gives one entry per run and no group of its
 occurrences is ever gathered.  The number of buckets grows with the text.
 
 Edge cases: a null or empty text has no words; texts shorter than a window are
-kept whole; a null doc_id counts as larger than all others; rows that repeat a
-doc_id and text are the same document and lose the same words, rows that repeat
-only the doc_id are ordered by a hash of their text; other columns are ignored.
+kept whole; a null doc_id counts as larger than all others; rows that share a
+doc_id count as one document, so that a window of one repeats a window of the
+other only if it starts later; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -93,6 +93,15 @@ def _sort_run(keys: np.ndarray, *by: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order, fresh
 
 
+def _later(keys: np.ndarray, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by key, document and place; which of it starts after its key's first."""
+    order, fresh = _sort_run(keys, ids, places)
+    if not len(order):
+        return order, fresh
+    first = order[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+    return order, (ids[order] != ids[first]) | (places[order] != places[first])
+
+
 def block_probes(docs: DataFrame, block: int, buckets: int, bits: int) -> DataFrame:
     """All rolling places of ``block`` words, packed; places divisible by it are references."""
 
@@ -221,15 +230,15 @@ def repeated_words(matched: DataFrame, window: int, buckets: int) -> DataFrame:
                     continue
                 place, doc_of = np.concatenate(starts), np.concatenate(doc)
                 keys = runs(c.hashes, window)[c.first[doc_of] + place]
-                order, fresh = _sort_run(keys, doc_of, place)
-                sent, again = order[fresh], order[~fresh]
+                id_of = ids[c.row + doc_of]
+                order, again = _later(keys, id_of, place)
+                sent, again = order[~again], order[again]
                 yield _pack_run(keys[sent], doc_of[sent], place[sent], np.array([doc_of[again], place[again]]), ids[c.row : c.row + c.n], row_keys[c.row : c.row + c.n], buckets, 64)
 
     def decide(table: pa.Table) -> pa.Table:
         keys, docs_, places, rows, ids = _bucket(table, True)
-        run = np.array(table["run"].to_pylist(), dtype=np.int64)[rows]
-        order, fresh = _sort_run(keys, ids, places, run)
-        return _answer(table, rows, docs_, places, order[~fresh])
+        order, later = _later(keys, ids, places)
+        return _answer(table, rows, docs_, places, order[later])
 
     def merge(places: np.ndarray) -> bytes:
         return _merged(places, places + window)

@@ -242,13 +242,15 @@ def test_one_of_each_group_stays(corpus, empty):
 
 
 def cut(rows, window):
-    order = sorted({(r[0] is None, r[0] or 0, r[1] or "") for r in rows})
-    first, gone = {}, defaultdict(set)
-    for d in order:
+    places, gone = defaultdict(list), defaultdict(set)
+    for d in {(r[0] is None, r[0] or 0, r[1] or "") for r in rows}:
         w = spaced(d[2])
         for i in range(len(w) - window + 1):
-            g = tuple(w[i : i + window])
-            if first.setdefault(g, (d, i)) != (d, i):
+            places[tuple(w[i : i + window])].append((d[:2], i, d))
+    for found in places.values():
+        first = min(f[:2] for f in found)
+        for at, i, d in found:
+            if (at, i) != first:
                 gone[d].update(range(i, i + window))
     out = []
     for r in rows:
