@@ -216,7 +216,7 @@ def greedy_search(starts: DataFrame, graph: DataFrame, nodes: DataFrame, beam: i
     return met.select("q", "node", "d")
 
 
-def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, degree: int = 24, rounds: int = 6, beam: int = 48, width: int = 12, search_rounds: int = 10, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, degree: int = 44, rounds: int = 7, beam: int = 96, width: int = 16, search_rounds: int = 10, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """The ``k`` nearest of each row whose id is divisible by ``every``.
 
     Returns query_id, rank from 1, vec_id, score.
