@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from fieldloom.llm.components import connected_components
 from fieldloom.llm.key_filter import may_contain, member_masks
 from fieldloom.llm.words import SPACED_LOWER, Chunk, chunks, mix, run_starts, runs
-from fieldloom.sources.staging import checkpointed
+from fieldloom.sources.staging import stored
 
 SKETCH_BITS = 22
 BLOCK_BITS = 16
@@ -344,7 +344,7 @@ def described_nodes(docs: DataFrame, width: int, nodes: DataFrame, whole: bool)
 def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, text_key) for the distinct nodes of a one-column frame."""
     nodes = wanted.select(F.col(wanted.columns[0]).alias("want")).distinct()
-    return checkpointed(rows.join(nodes, F.col("node") == F.col("want"), "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key")))
+    return stored(rows.join(nodes, F.col("node") == F.col("want"), "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key")))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -402,28 +402,28 @@ def labelled_rows(docs: DataFrame, width: int, threshold: str) -> DataFrame:
         raise ValueError("threshold must be above 0.5 and at most 1")
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    described = checkpointed(describe_and_count(docs, width))
+    described = stored(describe_and_count(docs, width))
     rows = described.where(F.col("block").isNull()).select("doc_id", "text_key", "n_shingles", "node", "check")
     if rows.where("n_shingles > 0").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low < high").limit(1).count():
         raise ValueError("two different sets have one 64-bit key")
     classes, rare = frequency_classes(described)
     postings = prefix_postings(docs, width, limit, spark.sparkContext.broadcast(classes), rare)
-    buckets = checkpointed(shared_buckets(postings, limit, partitions))
-    first = checkpointed(first_partners(buckets))
-    parities = checkpointed(described_nodes(docs, width, texts_of(rows, _ends(first)), whole=False))
-    near = checkpointed(near_enough(first, parities, limit))
-    links = checkpointed(linked(docs, width, near, rows, limit))
+    buckets = stored(shared_buckets(postings, limit, partitions))
+    first = stored(first_partners(buckets))
+    parities = stored(described_nodes(docs, width, texts_of(rows, _ends(first)), whole=False))
+    near = stored(near_enough(first, parities, limit))
+    links = stored(linked(docs, width, near, rows, limit))
     labels = connected_components(links)
     tried = near
     for every in (False, True):
-        open_rows = checkpointed(open_buckets(buckets, labels))
+        open_rows = stored(open_buckets(buckets, labels))
         lacking = open_rows.select("node").distinct().join(parities.select(F.col("node").alias("known")), F.col("node") == F.col("known"), "left_anti")
         more = texts_of(rows, lacking)
         if more.limit(1).count():
-            parities = parities.unionByName(checkpointed(described_nodes(docs, width, more, whole=False)))
-        near = checkpointed(cross_pairs(open_rows, parities, limit, partitions, every).join(tried, ["a", "b"], "left_anti"))
+            parities = parities.unionByName(stored(described_nodes(docs, width, more, whole=False)))
+        near = stored(cross_pairs(open_rows, parities, limit, partitions, every).join(tried, ["a", "b"], "left_anti"))
         if near.limit(1).count():
-            links = links.unionByName(checkpointed(linked(docs, width, near, rows, limit)))
+            links = links.unionByName(stored(linked(docs, width, near, rows, limit)))
             labels = connected_components(links)
             tried = tried.unionByName(near)
     own = (F.col("node") == F.col("of")) & (F.col("n_shingles") > 0)
@@ -448,7 +448,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8"
     Null ids come last; rows that repeat the id are ordered by a hash of their
     text.  Rows without words are all kept.
     """
-    rows = checkpointed(labelled_rows(docs, width, threshold))
+    rows = stored(labelled_rows(docs, width, threshold))
     full = rows.where("component IS NOT NULL")
     chosen = full.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("first")).select("first.doc_id", "first.text_key")
     times = full.groupBy("doc_id", "text_key").agg(F.count("*").alias("times"))
