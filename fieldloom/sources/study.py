@@ -131,7 +131,8 @@ def open_study(spark: SparkSession, path: str, strict: bool = True) -> Study:
     text = "\n".join(r.value for r in spark.read.text(f"{path}/{version}/manifest.json").collect())
     manifest = Manifest.from_json(text)
     base = f"{path}/{version}"
-    study = Study(manifest, *(spark.read.parquet(f"{base}/{name}") for name in ("rows", "slot_values", "cells", "categories")))
+    shared = {"slot_values": SLOT_VALUES, "cells": CELLS, "categories": CATEGORIES}
+    study = Study(manifest, spark.read.parquet(f"{base}/rows"), *(spark.read.schema(kind).parquet(f"{base}/{name}") for name, kind in shared.items()))
     if strict:
         from fieldloom.plans.rules import structural_findings
 

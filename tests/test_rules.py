@@ -57,7 +57,7 @@ DECLARED = {
     "bound not finite": (lambda s: with_key(s, "mach", upper=float("inf")), ["E19"]),
     "components": (lambda s: with_slot(s, "pressure", components=None), ["E31"]),
     "dictionary": (lambda s: s.with_manifest(models=[Model("m", "affine", "{")]), ["E32"]),
-    "reserved name": (lambda s: with_key(s, "mach", name="fieldloom_x"), ["E33"]),
+    "reserved name": (lambda s: s.with_manifest(keys=[Key("fieldloom_x", "condition", units="1"), *s.manifest.keys[1:]]), ["E33"]),
     "source": (lambda s: with_slot(s, "pressure", source="model"), ["E36"]),
     "aligned": (lambda s: s.with_manifest(aligned=False), ["E37"]),
     "mesh without cells": (lambda s: with_support(s, "s0", n_cells=0), ["E38"]),
