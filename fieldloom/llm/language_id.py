@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.words import CHUNK_BYTES, string_buffers
+from fieldloom.llm.words import string_buffers
 
 ORDER = 3
 UNKNOWN = "und"
 MAX_LANGUAGES = 256
+#: Bytes of text whose contexts are looked up at once.
+CHUNK_BYTES = 1 << 19
 
 
 def byte_symbols() -> np.ndarray:
@@ -205,13 +207,16 @@ def identify(docs: DataFrame, model: ContextModel, text: str = "text", keep: tup
     kept = docs.select(*columns).schema
     names = [*kept.names, *out]
 
+    width = len(kept)
+    at = kept.names.index(text) if text in kept.names and kept[text].dataType.simpleString() == "string" else width + 1
+
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            column, letters = batch.column(len(kept)), batch.column(len(kept) + 1).to_pylist()
-            langs, scores = [], []
-            for first, stop, symbols, bounds in _pieces(column):
+            letters = batch.column(width).to_pylist()
+            for first, stop, symbols, bounds in _pieces(batch.column(at)):
                 lengths = known.code_lengths(symbols, bounds)
+                langs, scores = [], []
                 for i in range(stop - first):
                     if not letters[first + i] or not known.languages:
                         langs.append(UNKNOWN)
@@ -220,13 +225,15 @@ def identify(docs: DataFrame, model: ContextModel, text: str = "text", keep: tup
                         k = int(lengths[i].argmin())
                         langs.append(known.languages[k])
                         scores.append(float(1 / np.exp2(np.maximum(lengths[i][k] - lengths[i], -1000.0)).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
+                own = [c.slice(first, stop - first) for c in batch.columns[:width]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     schema = StructType([*kept.fields]).add(out[0], StringType()).add(out[1], DoubleType())
     has_letter = F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*columns, F.col(text).cast("string").alias("__text"), has_letter.alias("__letter")).mapInArrow(predict, schema)
+    more = [has_letter.alias("__letter"), *([F.col(text).cast("string").alias("__text")] if at > width else [])]
+    return docs.select(*columns, *more).mapInArrow(predict, schema)
 
 
 def identify_languages(docs: DataFrame, folds: int = 4, fold: int = 2) -> DataFrame:
