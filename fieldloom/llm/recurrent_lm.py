@@ -13,10 +13,10 @@ unseen words have one share in all.
 
 Training: truncated backpropagation through ``STEPS`` words with the state
 carried on from window to window and cleared at each document's start.  A first
-model learns from a few documents; then all partitions continue from it on
-``share`` of the training documents (chosen by a hash of their id, so that what
-is learned from grows with the corpus), and their parameters are averaged by
-the number of words seen.
+model learns from a few documents (about ``SEED_DOCS`` at most, however large
+the corpus); then all partitions continue from it, each on its part of all
+training documents, and their parameters are averaged by the number of words
+seen.
 
 Scoring: documents of a batch run in step, longest first, with the state
 carried across windows to the end of each document.
@@ -45,8 +45,11 @@ MODEL_WORDS = 4094  # with the end token and the token for other words, 64 class
 HIDDEN = 24
 CLASS_SIZE = 64
 STEPS = 16
-STREAMS = 32
-SCORE_WINDOW = 128
+STREAMS = (32, 512)  # as many as leave a chunk WINDOWS windows
+WINDOWS = 64
+SCORE_ROWS = 1 << 16
+BLOCK = 1024  # rows of logits at a time, to stay in the processor's cache
+SEED_DOCS = 512
 CHUNK = 1 << 22
 #: The end token's place among word hashes: no word is hashed to it but by chance.
 END = np.uint64(0x9D39247E33776D41)
@@ -96,9 +99,13 @@ def _step(p: dict, h: np.ndarray, x: np.ndarray):
     return new + z * (h - new), z, r, new, u[:, 2 * n :]
 
 
-def _log_softmax(a: np.ndarray) -> np.ndarray:
-    a = a - a.max(axis=1, keepdims=True)
-    return a - np.log(np.exp(a).sum(axis=1, keepdims=True))
+def _softmax(a: np.ndarray) -> np.ndarray:
+    """The softmax of each row; overwrites ``a``."""
+    if len(a) and np.abs(a).max() > 60:
+        a -= a.max(axis=1, keepdims=True)
+    np.exp(a, out=a)
+    a /= a.sum(axis=1, keepdims=True)
+    return a
 
 
 def _picked_log_softmax(a: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -107,7 +114,7 @@ def _picked_log_softmax(a: np.ndarray, at: np.ndarray) -> np.ndarray:
         a -= a.max(axis=1, keepdims=True)
     picked = a[np.arange(len(a)), at]
     np.exp(a, out=a)
-    return picked - np.log(a.sum(axis=1))
+    return picked - np.log(a @ np.ones(a.shape[1], a.dtype))
 
 
 def log_probabilities(p: dict, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -116,14 +123,19 @@ def log_probabilities(p: dict, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
     order = np.argsort(of, kind="stable")
     h, words = h[order], ids[order]
     bounds = np.searchsorted(of[order], np.arange(len(p["c"]) + 1))
-    logits = h @ p["C"]
-    logits += p["c"]
-    found = _picked_log_softmax(logits, of[order])
+    of = of[order]
+    found = np.empty(len(ids), dtype=h.dtype)
+    for a in range(0, len(ids), BLOCK):
+        logits = h[a : a + BLOCK] @ p["C"]
+        logits += p["c"]
+        found[a : a + BLOCK] = _picked_log_softmax(logits, of[a : a + BLOCK])
     for k in np.flatnonzero(np.diff(bounds)):
-        at, rows = slice(bounds[k], bounds[k + 1]), slice(k * CLASS_SIZE, (k + 1) * CLASS_SIZE)
-        logits = h[at] @ p["V"][rows].T
-        logits += p["v"][rows]
-        found[at] += _picked_log_softmax(logits, words[at] - k * CLASS_SIZE)
+        rows = slice(k * CLASS_SIZE, (k + 1) * CLASS_SIZE)
+        for a in range(bounds[k], bounds[k + 1], BLOCK):
+            at = slice(a, min(a + BLOCK, bounds[k + 1]))
+            logits = h[at] @ p["V"][rows].T
+            logits += p["v"][rows]
+            found[at] += _picked_log_softmax(logits, words[at] - k * CLASS_SIZE)
     out = np.empty(len(ids))
     out[order] = found
     return out
@@ -137,9 +149,11 @@ def score_documents(p: dict, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.zeros(len(order))
     h = np.zeros((len(order), p["U"].shape[0]), dtype=np.float32)
     longest = int(lengths[0]) if len(lengths) else 0
-    for start in range(0, longest, SCORE_WINDOW):
+    t = 0
+    while t < longest:
         states, words, owners = [], [], []
-        for t in range(start, min(longest, start + SCORE_WINDOW)):
+        rows = 0
+        while t < longest and rows < SCORE_ROWS:
             live = int(np.searchsorted(-lengths, -t, side="left"))  # documents longer than t
             word = ids[begin[:live] + t]
             h = h[:live]
@@ -147,6 +161,7 @@ def score_documents(p: dict, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
             words.append(word)
             owners.append(live)
             h = _step(p, h, p["X"][word])[0]
+            rows, t = rows + live, t + 1
         log_p = log_probabilities(p, np.concatenate(states), np.concatenate(words))
         at = 0
         for live in owners:
@@ -165,12 +180,17 @@ class Trainer:
         self.sums = {k: np.full_like(v, 1e-2) for k, v in self.p.items()}
         self.rate, self.seen = rate, 0
 
-    def learn(self, ids: np.ndarray, starts: np.ndarray) -> None:
-        """One pass over ``ids``; ``starts`` says where documents begin."""
-        streams = max(1, min(STREAMS, len(ids) // (STEPS + 1)))
-        length = len(ids) // streams
-        if length < 2:
+    def learn(self, ids: np.ndarray, starts: np.ndarray, share: int | None = None) -> None:
+        """One pass over ``ids``, to the last; ``starts`` says where documents begin.
+
+        What the streams leave over weighs no more than it would as part of
+        ``share`` streams.
+        """
+        if not len(ids):
             return
+        low, high = STREAMS
+        streams = max(1, min(low, len(ids) // (STEPS + 1)), min(high, len(ids) // (STEPS * WINDOWS)))
+        length = len(ids) // streams
         words = ids[: streams * length].reshape(streams, length).T
         opens = np.zeros(len(ids), dtype=bool)
         opens[starts] = True
@@ -179,10 +199,11 @@ class Trainer:
         h = np.zeros((streams, self.p["U"].shape[0]), dtype=np.float32)
         last = None
         for t in range(0, length, STEPS):
-            h, last = self.window(h, last, words[t : t + STEPS], opens[t : t + STEPS])
+            h, last = self.window(h, last, words[t : t + STEPS], opens[t : t + STEPS], share)
         self.seen += streams * length
+        self.learn(ids[streams * length :], starts[starts >= streams * length] - streams * length, share or streams)
 
-    def window(self, h: np.ndarray, last, words: np.ndarray, opens: np.ndarray):
+    def window(self, h: np.ndarray, last, words: np.ndarray, opens: np.ndarray, share: int | None = None):
         """Predict ``words`` in turn; ``last`` holds the words before the first."""
         p, n, (steps, streams) = self.p, h.shape[1], words.shape
         kept, states = [], []
@@ -201,20 +222,21 @@ class Trainer:
         flat_h, flat_w = np.concatenate(states), words.ravel()
         grads = {k: np.zeros_like(p[k]) for k in ("C", "c", "U")}
         of = flat_w // CLASS_SIZE
-        prob = np.exp(_log_softmax(flat_h @ p["C"] + p["c"]))
+        prob = _softmax(flat_h @ p["C"] + p["c"])
         prob[np.arange(len(of)), of] -= 1
-        prob /= streams
+        prob /= share or streams
         grads["C"], grads["c"] = flat_h.T @ prob, prob.sum(axis=0)
         d_h = prob @ p["C"].T
         order = np.argsort(of, kind="stable")
         bounds = np.searchsorted(of[order], np.arange(len(p["c"]) + 1))
         for k in np.flatnonzero(np.diff(bounds)):
             at, rows = order[bounds[k] : bounds[k + 1]], slice(k * CLASS_SIZE, (k + 1) * CLASS_SIZE)
-            q = np.exp(_log_softmax(flat_h[at] @ p["V"][rows].T + p["v"][rows]))
+            own = flat_h[at]
+            q = _softmax(own @ p["V"][rows].T + p["v"][rows])
             q[np.arange(len(at)), flat_w[at] - k * CLASS_SIZE] -= 1
-            q /= streams
+            q /= share or streams
             d_h[at] += q @ p["V"][rows]
-            self._move("V", q.T @ flat_h[at], rows)
+            self._move("V", q.T @ own, rows)
             self._move("v", q.sum(axis=0), rows)
         d_h = d_h.reshape(steps, streams, n)
         carry = np.zeros_like(h)
@@ -344,14 +366,14 @@ def train(texts: DataFrame, lexicon, start: Parameters, parts: int) -> Parameter
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s for s, _ in sums.values()], pa.int64()), pa.array([(v / s).astype(np.float32).tobytes() for s, v in sums.values()], pa.binary())], ["piece", "seen", "weights"])
 
     shape = "piece int, seen long, weights binary"
-    learned = texts.repartition(parts, F.xxhash64("text")).select("text").mapInArrow(learn, shape)
+    learned = texts.repartition(parts, F.xxhash64("doc_id", "text")).select("text").mapInArrow(learn, shape)
     rows = learned.repartition(16, "piece").mapInArrow(average, shape).toArrow().to_pydict()
     if not rows["piece"]:
         return start
     return start.like(np.concatenate([np.frombuffer(w, dtype=np.float32) for _, w in sorted(zip(rows["piece"], rows["weights"], strict=True))]))
 
 
-def score_corpus(docs: DataFrame, folds: int = 7, fold: int = 2, share: float = 0.02, seed_docs_share: float = 0.002) -> DataFrame:
+def score_corpus(docs: DataFrame, folds: int = 7, fold: int = 2, share: float = 1.0, seed_docs_share: float = 0.002) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -360,8 +382,9 @@ def score_corpus(docs: DataFrame, folds: int = 7, fold: int = 2, share: float =
     counts = checkpointed(count_words(training.select("text")))
     lexicon = build_lexicon(counts)
     shared = spark.sparkContext.broadcast(lexicon)
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("lm")), F.lit(1_000_000)) / 1_000_000
-    start = train(training.where(draw < seed_docs_share), shared, Parameters.fresh(MODEL_WORDS + 2), 1)
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("lm"), "text"), F.lit(1 << 40)) / (1 << 40)
+    documents = int(lexicon.counts[lexicon.hashes == END].sum())  # each has one end
+    start = train(training.where(draw < min(seed_docs_share, SEED_DOCS / max(1, documents))), shared, Parameters.fresh(MODEL_WORDS + 2), 1)
     model = train(training.where(draw < share), shared, start, parts)
     weights = spark.sparkContext.broadcast(model)
     key = F.xxhash64("doc_id", "text")

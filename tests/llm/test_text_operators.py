@@ -347,6 +347,31 @@ def test_language_model_without_documents(empty, spark):
     assert math.isclose(r.base_score, 0.0, abs_tol=1e-9)
 
 
+def test_language_model_learns_from_every_training_document(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b {i}") for i in range(300)], "doc_id bigint, text string")
+    given = []
+
+    def train(texts, lexicon, start, parts):
+        given.append((texts.count(), parts))
+        return start
+
+    monkeypatch.setattr(recurrent_lm, "train", train)
+    monkeypatch.setattr(recurrent_lm, "SEED_DOCS", 20, raising=False)
+    recurrent_lm.score_corpus(docs, seed_docs_share=1.0)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert given[-1] == (sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(300)), parts)
+    assert 0 < given[0][0] < 60  # the one task's share doesn't grow with the corpus
+
+
+def test_trainer_learns_from_every_word():
+    import numpy as np
+
+    for n in (0, 1, 2, 545, 1000, 70001):
+        trainer = recurrent_lm.Trainer(recurrent_lm.Parameters.fresh(recurrent_lm.CLASS_SIZE, hidden=4))
+        trainer.learn(np.arange(n, dtype=np.int32) % recurrent_lm.CLASS_SIZE, np.arange(0, n, 9))
+        assert trainer.seen == n
+
+
 def test_recurrent_model_is_a_distribution_and_learns():
     import numpy as np
 
