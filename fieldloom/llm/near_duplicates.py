@@ -329,7 +329,8 @@ def described_nodes(docs: DataFrame, width: int, nodes: DataFrame, whole: bool)
                 rows, values = shingle_sets(c, width)
                 sizes, node, _ = _set_keys(c.n, rows, values)
                 begin = np.cumsum(sizes) - sizes
-                _, own = np.unique(node, return_index=True)  # copies of a text have one set
+                # copies of a text have one set; other texts with that set stay, as the join may want any of them
+                _, own = np.unique(np.stack([keys[c.row : c.row + c.n].view(np.uint64), node]), axis=1, return_index=True)
                 take = own[sizes[own] > 0]
                 sets = [values[begin[i] : begin[i] + sizes[i]] for i in take]
                 if not whole:

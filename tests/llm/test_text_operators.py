@@ -323,6 +323,23 @@ def test_proximity(spark):
     assert found(0) == [2] and found(1) == [1, 2]
 
 
+# 7. the wanted text of a node, whatever the filter lets through
+
+
+def test_described_nodes_with_a_filter_that_passes_everything(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(near_duplicates, "member_masks", lambda keys: keys.sparkSession.sparkContext.broadcast(np.full(1 << 19, 0xFFFFFFFF, dtype=np.uint32)))
+    texts = ["a b c d e f", "A b c d e f", "a  b c d e f", "a b c d e f"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    rows = near_duplicates.describe_and_count(docs, 5).where("block IS NULL").select("node", "text_key").distinct().collect()
+    assert len(rows) == 3 and len({r.node for r in rows}) == 1
+    for r in rows:
+        wanted = spark.createDataFrame([(r.node, r.text_key)], "node bigint, text_key bigint")
+        for whole in (False, True):
+            assert [x.node for x in near_duplicates.described_nodes(docs, 5, wanted, whole).collect()] == [r.node]
+
+
 # 5. language model
 
 
