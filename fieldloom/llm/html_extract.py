@@ -2,11 +2,12 @@
 
 Markup is stripped to lines: a line is the text of one block, and elements that
 never hold the article (menus, headers, footers, sidebars, notices, adverts,
-forms, comments, scripts, styles) leave lines of length zero.  Sums of the line
-lengths over a sliding window then show the article as a plateau: it begins at
-a surge, where the sum leaves zero, and ends at a dive, where it returns to it.
-If the page marks its article, only that part has lengths; otherwise a plateau
-counts if its highest sum reaches ``MIN_SURGE`` or no plateau is higher.
+forms, comments, scripts, styles) leave lines of length zero.  The article
+begins at the first surge, the first line of which at least half is outside
+links, and ends at the last dive, after the last such line.  All lines with text
+between them are kept, however short and whatever their links.  If the page
+marks its article by a tag, the tag decides: all lines inside it are kept, and
+no others.
 
 Edge cases: a null or empty page gives an empty text; unclosed elements end
 where their parent or the next block does, comments and scripts at the page's
@@ -24,9 +25,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW = 3
-MIN_SURGE = 80
-
 # Element names and words of class, id and role attributes.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 NEVER_MAIN = frozenset("aside button canvas datalist dialog embed footer form head iframe input label map math menu nav noscript object option select svg template textarea".split())
@@ -146,19 +144,11 @@ def main_text(page: str | None) -> str:
         lengths = [len(text) if inside else 0 for text, _, inside in lines]
     else:
         lengths = [own if 2 * own >= len(text) else 0 for text, own, _ in lines]
-    sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
-    plateaus, begin = [], None
-    for i, length in enumerate([*lengths, 0]):
-        if length and begin is None:
-            begin = i  # surge
-        elif not length and begin is not None:
-            plateaus.append((begin, i))  # dive
-            begin = None
-    if not plateaus:
+    full = [i for i, length in enumerate(lengths) if length]
+    if not full:
         return ""
-    peak = {span: max(sums[span[0] : span[1]]) for span in plateaus}
-    least = 0 if marked else min(MIN_SURGE, max(peak.values()))
-    return "\n".join(lines[i][0] for span in plateaus if peak[span] >= least for i in range(*span))
+    surge, dive = full[0], full[-1] + 1
+    return "\n".join(text for text, _, inside in lines[surge:dive] if text and (inside or not marked))
 
 
 def extract_main_text(pages: DataFrame, id_column: str = "page_id") -> DataFrame:

@@ -35,6 +35,13 @@ def test_main_text(spark):
     assert got[None].text == "z" and html_extract.extract_main_text(frame.limit(0)).count() == 0
 
 
+def test_short_and_linked_lines_of_an_unmarked_page_stay():
+    share = "<div class='share'>Share</div>"
+    linked = "See <a href=x>another long text about it</a>"
+    page = f"<div><a href=a>Home</a></div><h1>Title</h1>{share * 3}<p>{ARTICLE}</p><p>{linked}</p>{share * 3}<p>Short end.</p><div><a href=b>Top</a></div>"
+    assert html_extract.main_text(page) == f"Title\n{ARTICLE}\nSee another long text about it\nShort end."
+
+
 def test_large_page():
     many = "".join(f"<p>paragraph {i} &amp; more</p>" for i in range(20000))
     assert html_extract.main_text(f"<nav>{many}</nav><article>{many}</article>").count("\n") == 19999
