@@ -12,16 +12,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that are hashed at once; one longer document is taken alone.
 CHUNK_BYTES = 1 << 21
-#: Bytes whose hash terms are held at once.
-HASH_BYTES = 1 << 18
+#: Longer words are hashed one by one.
+LANE_BYTES = 256
 
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0x5851F42D4C957F2D
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 @dataclass(frozen=True)
@@ -62,30 +63,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_tables: dict = {}
-
-
-def _byte_values(rule: WordRule) -> np.ndarray:
-    if rule not in _tables:
-        values = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _STEP)[rule.letters()]
-        values[~rule.word_bytes()] = 0
-        _tables[rule] = values
-    return _tables[rule]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least ``n``."""
-    if "powers" not in _tables or len(_tables["powers"][0]) < n:
-        size = max(n, HASH_BYTES)
-        out = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        _tables["powers"] = tuple(out)
-    return _tables["powers"]
-
-
 @dataclass
 class Chunk:
     """Words of consecutive rows ``row .. row + n - 1`` of a batch."""
@@ -138,34 +115,31 @@ def chunks(column: pa.Array, rule: WordRule, hashed: bool = True, size: int = CH
         stop = min(stop, n)
         bounds = at[row : stop + 1] - at[row]
         data = raw[at[row] : at[stop]]
-        yield _chunk(row, data, bounds, member, _byte_values(rule) if hashed else None)
+        yield _chunk(row, data, bounds, member, rule.letters() if hashed else None)
         row = stop
 
 
-def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Polynomial hashes, for as many words at once as fill HASH_BYTES."""
-    out = np.empty(len(start), dtype=np.uint64)
-    at = 0
-    while at < len(start):
-        stop = max(at + 1, int(np.searchsorted(end, start[at] + HASH_BYTES, side="right")))
-        low = int(start[at])
-        span = int(end[stop - 1]) - low
-        up, down = _powers(span)
-        terms = values[data[low : low + span]]
-        terms *= up[:span]
-        total = np.empty(span + 1, dtype=np.uint64)
-        total[0] = 0
-        np.cumsum(terms, out=total[1:])
-        begin = start[at:stop] - low
-        out[at:stop] = (total[end[at:stop] - low] - total[begin]) * down[begin]
-        at = stop
-    return mix(out)
-
-
-def _chunk(row: int, data: np.ndarray, bounds: np.ndarray, member: np.ndarray, values: np.ndarray | None) -> Chunk:
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Each word's eight bytes after eight bytes, scrambled in turn; its length is the seed."""
+    folded = np.zeros(len(data) + 8, dtype=np.uint8)
+    np.take(letters, data, out=folded[: len(data)])
+    eights = np.ndarray((len(data) + 1,), dtype="<u8", buffer=folded, strides=(1,))  # those that begin at each byte
+    size = end - start
+    out = mix(size.astype(np.uint64) * _STEP ^ (eights[start] & _LANE[np.minimum(size, 8)]))
+    at, done = np.flatnonzero(size > 8), 8
+    while len(at) and done < LANE_BYTES:
+        left = size[at] - done
+        out[at] = mix((out[at] + _STEP) ^ (eights[start[at] + done] & _LANE[np.minimum(left, 8)]))
+        at, done = at[left > 8], done + 8
+    for i in at.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(folded[start[i] : end[i]].tobytes(), seed=int(out[i]))
+    return out
+
+
+def _chunk(row: int, data: np.ndarray, bounds: np.ndarray, member: np.ndarray, letters: np.ndarray | None) -> Chunk:
     if len(data) == 0:
         none = np.zeros(0, dtype=np.int64)
-        return Chunk(row, data, bounds, np.zeros(len(bounds), dtype=np.int64), none, none, None if values is None else none.astype(np.uint64))
+        return Chunk(row, data, bounds, np.zeros(len(bounds), dtype=np.int64), none, none, None if letters is None else none.astype(np.uint64))
     inside = member[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -177,7 +151,7 @@ def _chunk(row: int, data: np.ndarray, bounds: np.ndarray, member: np.ndarray, v
     ends[tail] = inside[tail]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     first = np.searchsorted(start, bounds)
-    hashes = None if values is None else _word_hashes(data, start, end, values)
+    hashes = None if letters is None else _word_hashes(data, start, end, letters)
     return Chunk(row, data, bounds, first, start, end, hashes)
 
 
