@@ -9,8 +9,8 @@ one.
    length probe the blocks.  A place whose words equal a reference block
    elsewhere is an anchor.
 2. Each anchor is extended to all windows that hold it, and these windows are
-   matched over the whole corpus: the earliest one of each word sequence stays,
-   the others are repeats.  Overlapping repeats merge into maximal ones.
+   matched over the whole corpus by 128 bits: the earliest one of each word
+   sequence stays, the others are repeats.  Overlapping repeats merge into maximal ones.
 3. The words of the repeats are cut out.
 
 Places travel between tasks in packed runs (sorted hashes as differences, one
@@ -39,14 +39,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
 from fieldloom.llm.key_filter import may_contain, member_masks, passing
-from fieldloom.llm.words import SPACED, chunks, run_starts, runs
+from fieldloom.llm.words import SPACED, chunks, mix, run_starts, runs
 from fieldloom.sources.staging import checkpointed
 
 RUN_BYTES = 1 << 21
 BUCKET_BYTES = 1 << 23
 _LAST = np.iinfo(np.int64).max
-_PACKED = "bucket int, run long, n int, places binary, ids binary"
+_PACKED = "bucket long, run long, n int, places binary, ids binary"
 _NAMES = ["bucket", "run", "n", "places", "ids"]
+_KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+_SALT = np.uint64(0x8EBC6AF09C88C6E3)
 
 
 def _planes(*arrays: np.ndarray) -> bytes:
@@ -69,10 +71,12 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def _pack_run(keys: np.ndarray, docs: np.ndarray, places: np.ndarray, local: np.ndarray, ids: np.ndarray | None, row_keys: np.ndarray, buckets: int, bits: int) -> pa.RecordBatch:
+def _pack_run(keys: np.ndarray, more: np.ndarray | None, docs: np.ndarray, places: np.ndarray, local: np.ndarray, ids: np.ndarray | None, row_keys: np.ndarray, buckets: int, bits: int) -> pa.RecordBatch:
     """One row per bucket with the run's places (sorted by key), and one with the rest.
 
-    ``local``: (document, place) pairs that are decided without the others.
+    ``more``: the keys' second halves, if they have one.  ``local``: (document,
+    place) pairs that are decided without the others.  The rest has a number
+    below 0 of its own, so that it is in no other run's group.
     """
     run = xxhash.xxh3_64_intdigest(np.ascontiguousarray(row_keys).tobytes()) >> 1
     width = np.uint64((1 << bits) // buckets + 1) if bits < 64 else np.uint64((1 << 64) // buckets + 1)
@@ -80,22 +84,26 @@ def _pack_run(keys: np.ndarray, docs: np.ndarray, places: np.ndarray, local: np.
     bounds = np.flatnonzero(np.diff(of, prepend=-1))
     ends = np.append(bounds[1:], len(keys))
     packed_ids = _planes(np.diff(ids, prepend=np.int64(0))) if ids is not None else None
-    rows = [(int(of[a]), run, int(b - a), _planes(np.diff(keys[a:b], prepend=np.uint64(0)), docs[a:b].astype(np.uint32), places[a:b].astype(np.uint32)), packed_ids) for a, b in zip(bounds, ends, strict=True)]
-    rows.append((-1 - run % 64, run, local.shape[1], _planes(local[0].astype(np.uint32), local[1].astype(np.uint32)), np.ascontiguousarray(row_keys).tobytes()))
-    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], _NAMES)
+    halves = [] if more is None else [more]
+    rows = [(int(of[a]), run, int(b - a), _planes(np.diff(keys[a:b], prepend=np.uint64(0)), docs[a:b].astype(np.uint32), places[a:b].astype(np.uint32), *(h[a:b] for h in halves)), packed_ids) for a, b in zip(bounds, ends, strict=True)]
+    rows.append((-1 - run, run, local.shape[1], _planes(local[0].astype(np.uint32), local[1].astype(np.uint32)), np.ascontiguousarray(row_keys).tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), _KINDS, strict=True)], _NAMES)
 
 
-def _sort_run(keys: np.ndarray, *by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sort_run(keys: np.ndarray, *by: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """An order by key and then ``by``, and where a new key begins in it."""
-    order = np.lexsort((*by[::-1], keys)) if by else np.argsort(keys, kind="stable")
-    fresh = np.ones(len(keys), dtype=bool)
-    fresh[1:] = keys[order][1:] != keys[order][:-1]
+    halves = [keys] if more is None else [keys, more]
+    order = np.lexsort((*by[::-1], *halves[::-1])) if by else np.argsort(keys, kind="stable")
+    fresh = np.zeros(len(keys), dtype=bool)
+    fresh[:1] = True
+    for half in halves:
+        fresh[1:] |= half[order][1:] != half[order][:-1]
     return order, fresh
 
 
-def _later(keys: np.ndarray, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _later(keys: np.ndarray, more: np.ndarray, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order by key, document and place; which of it starts after its key's first."""
-    order, fresh = _sort_run(keys, ids, places)
+    order, fresh = _sort_run(keys, ids, places, more=more)
     if not len(order):
         return order, fresh
     first = order[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
@@ -121,24 +129,29 @@ def block_probes(docs: DataFrame, block: int, buckets: int, bits: int) -> DataFr
                 again[:-1] |= ~fresh[1:]
                 repeated = order[again]
                 sent = order[fresh]
-                yield _pack_run(keys[sent], doc[sent], place[sent], np.array([doc[repeated], place[repeated]]), None, row_keys[c.row : c.row + c.n], buckets, bits)
+                yield _pack_run(keys[sent], None, doc[sent], place[sent], np.array([doc[repeated], place[repeated]]), None, row_keys[c.row : c.row + c.n], buckets, bits)
 
     return docs.select(row_key(), F.col("text").cast("string")).mapInArrow(probe, _PACKED)
 
 
-def _bucket(table: pa.Table, with_ids: bool) -> tuple[np.ndarray, ...]:
-    """Keys, documents, places, rows of the table and doc_ids of a bucket's entries."""
-    keys, docs, places, ids, rows = [], [], [], [], []
-    for i, (n, data) in enumerate(zip(table["n"].to_pylist(), table["places"], strict=True)):
-        k, d, p = _unplanes(data.as_py(), n, np.uint64, np.uint32, np.uint32)
-        keys.append(np.cumsum(k, dtype=np.uint64))
-        docs.append(d)
-        places.append(p)
-        rows.append(np.full(n, i, dtype=np.int32))
-        if with_ids:
+def _bucket(table: pa.Table, whole: bool) -> tuple[np.ndarray, ...]:
+    """Keys, documents, places and rows of the table of a bucket's entries.
+
+    ``whole``: with the keys' second halves and the doc_ids.
+    """
+    counts = table["n"].to_pylist()
+    ends = np.cumsum(counts)
+    keys, docs, places = np.empty(ends[-1], dtype=np.uint64), np.empty(ends[-1], dtype=np.uint32), np.empty(ends[-1], dtype=np.uint32)
+    more, ids = (np.empty(ends[-1], dtype=np.uint64), np.empty(ends[-1], dtype=np.int64)) if whole else (keys[:0], keys[:0])
+    for i, (n, end, data) in enumerate(zip(counts, ends, table["places"], strict=True)):
+        at = slice(end - n, end)
+        k, docs[at], places[at], *half = _unplanes(data.as_py(), n, np.uint64, np.uint32, np.uint32, *([np.uint64] if whole else []))
+        np.cumsum(k, dtype=np.uint64, out=keys[at])
+        if whole:
+            more[at] = half[0]
             raw = table["ids"][i].as_py()
-            ids.append(np.cumsum(_unplanes(raw, len(raw) // 8, np.int64)[0])[d])
-    return tuple(np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (keys, docs, places, rows, ids))
+            ids[at] = np.cumsum(_unplanes(raw, len(raw) // 8, np.int64)[0])[docs[at]]
+    return keys, docs, places, np.repeat(np.arange(len(counts), dtype=np.int32), counts), more, ids
 
 
 def _answer(table: pa.Table, rows: np.ndarray, docs: np.ndarray, places: np.ndarray, chosen: np.ndarray) -> pa.Table:
@@ -147,7 +160,7 @@ def _answer(table: pa.Table, rows: np.ndarray, docs: np.ndarray, places: np.ndar
     bounds = np.searchsorted(rows[chosen], np.arange(table.num_rows + 1))
     run = table["run"].to_pylist()
     out = [(0, run[i], int(b - a), _planes(docs[chosen[a:b]], places[chosen[a:b]]), None) for i, (a, b) in enumerate(itertools.pairwise(bounds)) if b > a]
-    return pa.Table.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], _NAMES)
+    return pa.Table.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(_KINDS)], _NAMES)
 
 
 def _match(packed: DataFrame, decide, merge, schema: str) -> DataFrame:
@@ -191,7 +204,7 @@ def anchored_windows(docs: DataFrame, window: int, buckets: int, bits: int) -> D
     block = window // 2
 
     def decide(table: pa.Table) -> pa.Table:
-        keys, docs_, places, rows, _ = _bucket(table, False)
+        keys, docs_, places, rows, _, _ = _bucket(table, False)
         order, fresh = _sort_run(keys)
         begin = np.flatnonzero(fresh)
         size = np.diff(np.append(begin, len(order)))
@@ -229,15 +242,16 @@ def repeated_words(matched: DataFrame, window: int, buckets: int) -> DataFrame:
                 if not starts:
                     continue
                 place, doc_of = np.concatenate(starts), np.concatenate(doc)
-                keys = runs(c.hashes, window)[c.first[doc_of] + place]
+                at = c.first[doc_of] + place
+                keys, more = runs(c.hashes, window)[at], runs(mix(c.hashes ^ _SALT), window)[at]
                 id_of = ids[c.row + doc_of]
-                order, again = _later(keys, id_of, place)
+                order, again = _later(keys, more, id_of, place)
                 sent, again = order[~again], order[again]
-                yield _pack_run(keys[sent], doc_of[sent], place[sent], np.array([doc_of[again], place[again]]), ids[c.row : c.row + c.n], row_keys[c.row : c.row + c.n], buckets, 64)
+                yield _pack_run(keys[sent], more[sent], doc_of[sent], place[sent], np.array([doc_of[again], place[again]]), ids[c.row : c.row + c.n], row_keys[c.row : c.row + c.n], buckets, 64)
 
     def decide(table: pa.Table) -> pa.Table:
-        keys, docs_, places, rows, ids = _bucket(table, True)
-        order, later = _later(keys, ids, places)
+        keys, docs_, places, rows, more, ids = _bucket(table, True)
+        order, later = _later(keys, more, ids, places)
         return _answer(table, rows, docs_, places, order[later])
 
     def merge(places: np.ndarray) -> bytes:
