@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.sources.staging import checkpointed
 
 
+def _with_root(edges: DataFrame) -> DataFrame:
+    """Adds ``root``, the smallest ``low`` of the node: summed up before the shuffle, then joined."""
+    least = edges.groupBy(F.col("node").alias("of")).agg(F.min("low").alias("root"))
+    return edges.join(least, F.col("node") == F.col("of")).select("node", "low", "root")
+
+
 def connected_components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b); component is its smallest node.
 
@@ -19,10 +25,8 @@ def connected_components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     mark = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("low").alias("node"), F.col("node").alias("low")))
-        least = F.least(F.min("low").over(Window.partitionBy("node")), F.col("node"))
-        large = both.select("node", F.col("low").alias("other"), least.alias("root")).where("other > node").select(F.col("other").alias("node"), F.col("root").alias("low")).where("node <> low").distinct()
-        smallest = F.min("low").over(Window.partitionBy("node"))
-        small = large.select("node", "low", smallest.alias("root"))
+        large = _with_root(both).where("low > node").select(F.col("low").alias("node"), F.least("node", "root").alias("low")).where("node <> low").distinct()
+        small = _with_root(large)
         edges = checkpointed(small.select("node", F.col("root").alias("low")).unionByName(small.select(F.col("low").alias("node"), F.col("root").alias("low"))).where("node <> low").distinct())
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("node", "low").cast("decimal(38,0)")), F.lit(0))).first()
         if mark == tuple(state):

@@ -8,11 +8,13 @@ component.
 2. How many documents hold a shingle is counted over the whole corpus in a
    table of fixed size (``SKETCH_BITS``).  Shingles are ordered from rare to
    frequent by that count; those above a cutoff are the frequent class.
-3. With ``o`` the least overlap a set of ``n`` needs, two linked sets share one
-   of their first ``n - o + 1`` shingles, and two of their first ``n - o + 2``.
-   Rare shingles of the first prefix are indexed singly; from the extended
-   prefix, frequent shingles are indexed in pairs (singly for sets whose prefix
-   is longer than ``PAIR_PREFIX``, for which pairs would be too many).
+3. With ``o`` the least overlap a set of ``n`` needs, two linked sets share ``k``
+   of their first ``n - o + k`` shingles.  Rare shingles of the first prefix
+   (``k`` = 1) are indexed singly.  If the first that two sets share is frequent,
+   so are all others: a hash deals them to ``m`` groups, and of ``k = m + 1``
+   shared ones two are in one group, so the pairs within groups are indexed.
+   Small sets have one group; larger ones have more by size class, so that the
+   pairs of a set grow in proportion to it.
 4. Each node is first compared with the leader of its buckets (the node with
    the fewest rarer shingles) and the neighbour that it meets most often.  The
    links found join most nodes.  Of the pairs of a bucket's nodes still in
@@ -32,6 +34,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
@@ -48,8 +51,13 @@ SKETCH_BITS = 22
 BLOCK_BITS = 16
 #: A shingle is frequent above this count, or above what chance puts in a cell.
 FREQUENT = 48
+#: Sets with prefixes up to this length index all pairs of frequent shingles.
 PAIR_PREFIX = 40
+#: Frequent shingles of a group of longer sets, on average; pairs are taken within groups.
+GROUP = 10
 PARITY_BITS = 1024
+#: Larger buckets are compared block by block.
+BLOCK_ROWS = 4096
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -78,8 +86,24 @@ def shingle_sets(c: Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, values
 
 
-def _set_keys(n_rows: int, rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes and two order-free 64-bit keys of the sets; empty sets have key 0."""
+@dataclass(frozen=True)
+class KeyRule:
+    """How sets are named: by ``bits`` of their first key, and by both keys where that clashes."""
+
+    bits: int = 64
+    clashes: tuple[int, ...] = ()
+
+    def node(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        one = one >> np.uint64(64 - self.bits)
+        return np.where(np.isin(one.view(np.int64), self.clashes), one ^ two, one) if self.clashes else one
+
+    def column(self) -> Column:
+        node = F.col("node")
+        return F.when(node.isin(*self.clashes), node.bitwiseXOR(F.col("check"))).otherwise(node) if self.clashes else node
+
+
+def _set_keys(n_rows: int, rows: np.ndarray, values: np.ndarray, rule: KeyRule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, names and second keys (both free of order) of the sets; empty sets have 0."""
     sizes = np.bincount(rows, minlength=n_rows)
     out = [np.zeros(n_rows, dtype=np.uint64) for _ in range(2)]
     filled = np.flatnonzero(sizes)
@@ -87,10 +111,10 @@ def _set_keys(n_rows: int, rows: np.ndarray, values: np.ndarray) -> tuple[np.nda
         begin = (np.cumsum(sizes) - sizes)[filled]
         for k, salt in enumerate((_SALT, np.uint64(0xE7037ED1A0B428DB))):
             out[k][filled] = mix(np.add.reduceat(mix(values ^ salt), begin) + sizes[filled].astype(np.uint64))
-    return sizes, out[0], out[1]
+    return sizes, rule.node(*out), out[1]
 
 
-def describe_and_count(docs: DataFrame, width: int) -> DataFrame:
+def describe_and_count(docs: DataFrame, width: int, rule: KeyRule = KeyRule()) -> DataFrame:
     """One pass: a row for each document, and the task's shingle counts by block."""
     names = ["doc_id", "text_key", "n_shingles", "node", "check", "block", "counts"]
 
@@ -99,8 +123,8 @@ def describe_and_count(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for c in chunks(batch.column(2), SPACED_LOWER):
                 rows, values = shingle_sets(c, width)
-                sizes, one, two = _set_keys(c.n, rows, values)
-                cells += np.bincount((values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(cells)).astype(np.uint32)
+                sizes, one, two = _set_keys(c.n, rows, values, rule)
+                np.add.at(cells, (values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.row, c.n), batch.column(1).slice(c.row, c.n), pa.array(sizes.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.nulls(c.n, pa.int32()), pa.nulls(c.n, pa.binary())], names)
         if cells.any():
             blocks = cells.reshape(-1, 1 << BLOCK_BITS)
@@ -135,18 +159,37 @@ def frequency_classes(described: DataFrame) -> tuple[np.ndarray, int]:
     return level(counts.ravel()), int(level(max(FREQUENT, mean + 6 * mean**0.5)))
 
 
-def prefix_postings(docs: DataFrame, width: int, threshold: Fraction, classes, rare: int) -> DataFrame:
+def _pairs_in_groups(tokens: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (earlier, later) of all pairs of tokens that a hash puts in one group."""
+    if groups == 1:
+        return np.triu_indices(len(tokens), 1)
+    of = (tokens & np.uint64(0xFFFFFFFF)) % np.uint64(groups)
+    order = np.argsort(of, kind="stable")
+    fresh = np.flatnonzero(np.diff(of[order], prepend=np.uint64(groups)))
+    start = np.repeat(fresh, np.diff(np.append(fresh, len(order))))
+    earlier = np.arange(len(order)) - start  # how many of its group come before
+    later = np.repeat(np.arange(len(order)), earlier)
+    first = np.arange(len(later)) - np.repeat(np.cumsum(earlier) - earlier, earlier) + start[later]
+    return order[first], order[later]
+
+
+def prefix_postings(docs: DataFrame, width: int, threshold: Fraction, classes, rare: int, rule: KeyRule) -> DataFrame:
     """(key, rank, n, node): the index of rare shingles and of frequent pairs."""
     names = ["key", "rank", "n", "node"]
     num, den = threshold.numerator, threshold.denominator
-    border = int(np.floor((PAIR_PREFIX - 2) / (1 - float(threshold))))  # sets up to this size use pairs
+    border = max(1, int((PAIR_PREFIX - 2) * den // (den - num))) if den > num else 1
+
+    def groups_for(n: int) -> Iterator[tuple[int, int]]:
+        """The size classes of a pair's larger set, if the other has ``n``, and their groups."""
+        for k in range(max(0, -(-n // border) - 1).bit_length(), max(0, -(-(n * den // num) // border) - 1).bit_length() + 1):
+            yield k, 1 if k == 0 else -(-(((border << k) * (den - num)) // den + 1) // GROUP)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = classes.value
         for batch in batches:
             for c in chunks(batch.column(0), SPACED_LOWER):
                 rows, values = shingle_sets(c, width)
-                sizes, node, _ = _set_keys(c.n, rows, values)
+                sizes, node, _ = _set_keys(c.n, rows, values, rule)
                 begin = np.cumsum(sizes) - sizes
                 token = (level[(values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (mix(values) >> np.uint64(8))
                 # fewer shingles than this can't be linked with a different set
@@ -156,20 +199,19 @@ def prefix_postings(docs: DataFrame, width: int, threshold: Fraction, classes, r
                 for i in linkable[own].tolist():
                     n = int(sizes[i])
                     prefix = n - -(-num * n // den) + 1
-                    tokens = np.partition(token[begin[i] : begin[i] + n], min(prefix, n - 1))[: prefix + 1]
+                    ways = list(groups_for(n))
+                    reach = min(n, prefix + max(m for _, m in ways))
+                    tokens = np.partition(token[begin[i] : begin[i] + n], reach - 1)[:reach]
                     tokens.sort()
-                    often = (tokens >> np.uint64(56)) > rare
-                    first_often = int(np.searchsorted(often, True))
+                    first_often = int(np.searchsorted(tokens >> np.uint64(56), rare, side="right"))
                     single = tokens[: min(prefix, first_often)]
                     found, rank = [single], [np.arange(len(single))]
-                    if first_often < len(tokens):
-                        if n <= border / float(threshold):
-                            a, b = np.triu_indices(len(tokens) - first_often, 1)
-                            found.append(mix(tokens[a + first_often] * np.uint64(3) ^ mix(tokens[b + first_often])))
-                            rank.append(a + first_often)
-                        if n > border * float(threshold):
-                            found.append(mix(tokens[first_often:prefix] ^ _SALT))
-                            rank.append(np.arange(first_often, min(prefix, len(tokens))))
+                    for k, m in ways:
+                        often = tokens[first_often : prefix + m]
+                        if len(often) > 1:
+                            a, b = _pairs_in_groups(often, m)
+                            found.append(mix(often[a] * np.uint64(3) ^ mix(often[b] ^ np.uint64(k))))
+                            rank.append(a + (first_often - (m - 1)))
                     keys += found
                     ranks += rank
                     owners.append((i, sum(map(len, found))))
@@ -254,13 +296,28 @@ def first_partners(buckets: DataFrame) -> DataFrame:
 
 
 def open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of buckets whose nodes are in more than one component so far."""
+    """The rows of buckets whose nodes are in more than one component so far, and each bucket's ``members``."""
     labelled = buckets.select("key", "rank", "n", "node").join(labels.select(F.col("node").alias("of"), "component"), F.col("node") == F.col("of"), "left").select("key", "rank", "n", "node", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(F.col("key").alias("mixed"))
-    return labelled.join(mixed, F.col("key") == F.col("mixed"), "left_semi")
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high").select(F.col("key").alias("mixed"), "members")
+    return labelled.join(mixed, F.col("key") == F.col("mixed")).drop("mixed")
+
+
+def in_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
+    """Buckets of over ``block_rows`` members cut into blocks: each two of them are a group of their own.
+
+    ``side`` is 0 or 1 in a group of two blocks, and -1 in a group of one.
+    """
+    blocks = F.ceil(F.col("members") / block_rows).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    group = F.when(F.col("members") <= block_rows, F.col("key")).otherwise(F.xxhash64("key", low, high))
+    side = F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    # a block meets itself in the group of its own rows only
+    return dealt.select(group.alias("key"), "rank", "n", "node", "component", side.cast("int").alias("side"))
 
 
-def cross_pairs(rows: DataFrame, parities: DataFrame, threshold: Fraction, partitions: int, every: bool) -> DataFrame:
+def cross_pairs(rows: DataFrame, parities: DataFrame, threshold: Fraction, partitions: int, every: bool, block_rows: int = 0) -> DataFrame:
     """Pairs of a bucket's nodes in different components that may be linked.
 
     ``rows``: open_buckets.  The parities are compared inside the bucket, so that
@@ -268,7 +325,8 @@ def cross_pairs(rows: DataFrame, parities: DataFrame, threshold: Fraction, parti
     its likeliest pair only.
     """
     num, den = threshold.numerator, threshold.denominator
-    described = rows.join(parities.select(F.col("node").alias("of"), F.col("value").alias("parity")), F.col("node") == F.col("of")).select("key", "rank", "n", "node", "component", "parity")
+    dealt = in_blocks(rows, block_rows or BLOCK_ROWS)
+    described = dealt.join(parities.select(F.col("node").alias("of"), F.col("value").alias("parity")), F.col("node") == F.col("of")).select("key", "rank", "n", "node", "component", "side", "parity")
     words = PARITY_BITS // 64
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +334,7 @@ def cross_pairs(rows: DataFrame, parities: DataFrame, threshold: Fraction, parti
             bounds = np.flatnonzero(np.diff(rows[0], prepend=rows[0, 0] - 1))
             left, right = [], []
             for a, b in zip(bounds, [*bounds[1:], rows.shape[1]], strict=True):
-                _, rank, n, node, component = rows[:, a:b]
+                _, rank, n, node, component, side = rows[:, a:b]
                 own = parity[a:b]
                 names, members = np.unique(component, return_counts=True)
                 if len(names) < 2:
@@ -284,6 +342,8 @@ def cross_pairs(rows: DataFrame, parities: DataFrame, threshold: Fraction, parti
                 # pairs inside the largest component need no look
                 for i in np.flatnonzero(component != names[members.argmax()]):
                     ok = (component != component[i]) & _can_link(n[i], n, rank[i], rank, num, den)
+                    if side[i] >= 0:
+                        ok &= side != side[i]
                     at = np.flatnonzero(ok)
                     if not len(at):
                         continue
@@ -298,10 +358,10 @@ def cross_pairs(rows: DataFrame, parities: DataFrame, threshold: Fraction, parti
                 found = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
 
-        rest, rest_parity = np.zeros((5, 0), dtype=np.int64), np.zeros((0, words), dtype=np.uint64)
+        rest, rest_parity = np.zeros((6, 0), dtype=np.int64), np.zeros((0, words), dtype=np.uint64)
         for batch in batches:
-            rows = np.concatenate([rest, np.array([x.to_numpy(zero_copy_only=False) for x in batch.columns[:5]], dtype=np.int64)], axis=1)
-            parity = np.concatenate([rest_parity, np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint64).reshape(-1, words)])
+            rows = np.concatenate([rest, np.array([x.to_numpy(zero_copy_only=False) for x in batch.columns[:6]], dtype=np.int64)], axis=1)
+            parity = np.concatenate([rest_parity, np.frombuffer(b"".join(batch.column(6).to_pylist()), dtype=np.uint64).reshape(-1, words)])
             if rows.shape[1]:
                 whole = int(np.argmax(rows[0] == rows[0, -1]))
                 if whole:
@@ -313,7 +373,7 @@ def cross_pairs(rows: DataFrame, parities: DataFrame, threshold: Fraction, parti
     return described.repartition(partitions, "key").sortWithinPartitions("key", "n", "node").mapInArrow(pairs, "a long, b long").distinct()
 
 
-def described_nodes(docs: DataFrame, width: int, nodes: DataFrame, whole: bool) -> DataFrame:
+def described_nodes(docs: DataFrame, width: int, nodes: DataFrame, whole: bool, rule: KeyRule = KeyRule()) -> DataFrame:
     """(node, n, value) of the nodes; ``nodes``: node, text_key of a text that has it.
 
     ``value`` is the shingles, or the parities of their hashes.  Only the texts
@@ -327,7 +387,7 @@ def described_nodes(docs: DataFrame, width: int, nodes: DataFrame, whole: bool)
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for c in chunks(batch.column(1), SPACED_LOWER):
                 rows, values = shingle_sets(c, width)
-                sizes, node, _ = _set_keys(c.n, rows, values)
+                sizes, node, _ = _set_keys(c.n, rows, values, rule)
                 begin = np.cumsum(sizes) - sizes
                 # copies of a text have one set; other texts with that set stay, as the join may want any of them
                 _, own = np.unique(np.stack([keys[c.row : c.row + c.n].view(np.uint64), node]), axis=1, return_index=True)
@@ -374,7 +434,7 @@ def near_enough(pairs: DataFrame, parities: DataFrame, threshold: Fraction) -> D
     return _with_values(pairs, parities).mapInArrow(bound, "a long, b long").distinct()
 
 
-def linked(docs: DataFrame, width: int, near: DataFrame, rows: DataFrame, threshold: Fraction) -> DataFrame:
+def linked(docs: DataFrame, width: int, near: DataFrame, rows: DataFrame, threshold: Fraction, rule: KeyRule) -> DataFrame:
     """The pairs (a, b) whose similarity reaches the threshold, by their whole sets."""
     num, den = threshold.numerator, threshold.denominator
 
@@ -389,11 +449,11 @@ def linked(docs: DataFrame, width: int, near: DataFrame, rows: DataFrame, thresh
                 keep.append(den * common >= num * (len(x) + len(y) - common))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    sets = described_nodes(docs, width, texts_of(rows, _ends(near)), whole=True)
+    sets = described_nodes(docs, width, texts_of(rows, _ends(near)), True, rule)
     return _with_values(near, sets).mapInArrow(exact, "a long, b long").distinct()
 
 
-def labelled_rows(docs: DataFrame, width: int, threshold: str) -> DataFrame:
+def labelled_rows(docs: DataFrame, width: int, threshold: str, key_bits: int = 64) -> DataFrame:
     """(doc_id, text_key, n_shingles, component) of every row; see near_duplicate_components.
 
     ``component`` is a node of the component, and null for empty sets.
@@ -403,17 +463,19 @@ def labelled_rows(docs: DataFrame, width: int, threshold: str) -> DataFrame:
         raise ValueError("threshold must be above 0.5 and at most 1")
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    described = stored(describe_and_count(docs, width))
-    rows = described.where(F.col("block").isNull()).select("doc_id", "text_key", "n_shingles", "node", "check")
-    if rows.where("n_shingles > 0").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low < high").limit(1).count():
-        raise ValueError("two different sets have one 64-bit key")
+    described = stored(describe_and_count(docs, width, KeyRule(key_bits)))
+    keyed = described.where(F.col("block").isNull()).select("doc_id", "text_key", "n_shingles", "node", "check")
+    # n sets are expected to give n**2 / 2**65 of these: 270 for 10**11 sets
+    clashes = keyed.where("n_shingles > 0").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low < high").select("node").toLocalIterator()
+    rule = KeyRule(key_bits, tuple(sorted(r.node for r in clashes)))
+    rows = keyed.select("doc_id", "text_key", "n_shingles", rule.column().alias("node"))
     classes, rare = frequency_classes(described)
-    postings = prefix_postings(docs, width, limit, spark.sparkContext.broadcast(classes), rare)
+    postings = prefix_postings(docs, width, limit, spark.sparkContext.broadcast(classes), rare, rule)
     buckets = stored(shared_buckets(postings, limit, partitions))
     first = stored(first_partners(buckets))
-    parities = stored(described_nodes(docs, width, texts_of(rows, _ends(first)), whole=False))
+    parities = stored(described_nodes(docs, width, texts_of(rows, _ends(first)), False, rule))
     near = stored(near_enough(first, parities, limit))
-    links = stored(linked(docs, width, near, rows, limit))
+    links = stored(linked(docs, width, near, rows, limit, rule))
     labels = connected_components(links)
     tried = near
     for every in (False, True):
@@ -421,10 +483,10 @@ def labelled_rows(docs: DataFrame, width: int, threshold: str) -> DataFrame:
         lacking = open_rows.select("node").distinct().join(parities.select(F.col("node").alias("known")), F.col("node") == F.col("known"), "left_anti")
         more = texts_of(rows, lacking)
         if more.limit(1).count():
-            parities = parities.unionByName(stored(described_nodes(docs, width, more, whole=False)))
+            parities = parities.unionByName(stored(described_nodes(docs, width, more, False, rule)))
         near = stored(cross_pairs(open_rows, parities, limit, partitions, every).join(tried, ["a", "b"], "left_anti"))
         if near.limit(1).count():
-            links = links.unionByName(stored(linked(docs, width, near, rows, limit)))
+            links = links.unionByName(stored(linked(docs, width, near, rows, limit, rule)))
             labels = connected_components(links)
             tried = tried.unionByName(near)
     own = (F.col("node") == F.col("of")) & (F.col("n_shingles") > 0)

@@ -225,6 +225,53 @@ def test_near_duplicates_of_a_large_group(spark, monkeypatch):
     assert as_rows(near_duplicates.near_duplicate_components(docs, 3, "0.9"), "doc_id", "component_id") == sorted(((r[0], c) for r, c in zip(rows, least, strict=True)), key=repr)
 
 
+def test_near_duplicates_of_long_texts(spark, monkeypatch):
+    """Sets of all size classes whose shingles are all frequent, compared in small blocks."""
+    monkeypatch.setattr(near_duplicates, "FREQUENT", 1)
+    monkeypatch.setattr(near_duplicates, "BLOCK_ROWS", 8)
+    rng = random.Random(18)
+    rows = []
+    for length in (300, 420, 900, 2000):
+        base = ["v%d" % rng.randrange(10**6) for _ in range(length)]
+        for _ in range(14):
+            own = list(base)
+            for _ in range(rng.randrange(length // 20)):
+                own[rng.randrange(length)] = "n%d" % rng.randrange(10**6)
+            own = own[: rng.choice([length, length, length * 19 // 20])]
+            rows += [(len(rows) + k, " ".join(own)) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for width, threshold, num, den in ((3, "0.9", 9, 10), (5, "0.8", 4, 5)):
+        _, least = components(rows, width, num, den)
+        assert 4 < len(set(least)) < 56
+        assert as_rows(near_duplicates.near_duplicate_components(docs, width, threshold), "doc_id", "component_id") == sorted(((r[0], c) for r, c in zip(rows, least, strict=True)), key=repr)
+
+
+def test_sets_whose_keys_clash(corpus):
+    rows, docs = corpus
+    _, least = components(rows, 3, 9, 10)
+    found = near_duplicates.labelled_rows(docs, 3, "0.9", key_bits=4)
+    groups = defaultdict(set)
+    for r in found.where("component IS NOT NULL AND doc_id IS NOT NULL").collect():
+        groups[r.component].add(r.doc_id)
+    want = defaultdict(set)
+    for r, c in zip(rows, least, strict=True):
+        if spaced(r[1]) and r[0] is not None:
+            want[c].add(r[0])
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    """Two words of 1,024 letters that hash alike by any polynomial modulo 2**64."""
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rest = " ".join("w%d" % i for i in range(19))
+    docs = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{two} {rest}")], "doc_id bigint, text string")
+    assert as_rows(substring_dedup.substring_dedup(docs), "doc_id", "n_removed") == [(1, 0), (2, 0), (3, 20)]
+    assert as_rows(near_duplicates.near_duplicate_components(docs, 20, "0.9"), "doc_id", "component_id") == [(1, 1), (2, 2), (3, 2)]
+    bench = spark.createDataFrame([(7, f"{one} w0 w1")], "item_id bigint, text string")
+    assert as_rows(decontaminate.decontaminate(docs, bench), "doc_id", "n_hit") == [(1, 3), (2, 0), (3, 0)]
+
+
 def test_one_of_each_group_stays(corpus, empty):
     rows, docs = corpus
     sets, least = components(rows, 5, 4, 5)
