@@ -47,6 +47,71 @@ def test_large_page():
     assert html_extract.main_text(f"<nav>{many}</nav><article>{many}</article>").count("\n") == 19999
 
 
+def plain_extent(counts, window, level):
+    """Surge and dive with every sum written out, and stretches grown one by one."""
+    n = len(counts)
+    sums = [sum(counts[k] for k in range(i - window + 1, i + 1) if 0 <= k < n) for i in range(n + window - 1)]
+    if not any(counts):
+        return 0, 0
+    level = level if max(sums) >= level else 1
+    lines = set()
+    for i, x in enumerate(sums):
+        if x >= level:
+            for step in (1, -1):
+                j = i
+                while 0 <= j < len(sums) and sums[j] > 0:
+                    lines |= {k for k in range(j - window + 1, j + 1) if 0 <= k < n and counts[k]}
+                    j += step
+    return min(lines), max(lines) + 1
+
+
+def test_surge_and_dive_against_all_sums():
+    rng = np.random.default_rng(12)
+    for _ in range(400):
+        counts = np.where(rng.random(rng.integers(1, 30)) < rng.choice([0.2, 0.5, 0.9]), rng.integers(1, 60, 1), 0) * rng.integers(1, 4)
+        for window, level in ((3, 80), (1, 20), (4, 100)):
+            assert html_extract.surge_and_dive(counts, window, level) == plain_extent(counts.tolist(), window, level)
+
+
+def test_windows_decide_what_no_tag_marks():
+    links = "<div><a href=x>A link line</a></div>"
+    page = f"<div>Far note</div>{links * 3}<h1>Title</h1><p>{ARTICLE}</p>{links * 2}<p>Near.</p>{links * 3}<div>Far end</div>"
+    assert html_extract.main_text(page) == "\n".join(["Title", ARTICLE, "A link line", "A link line", "Near."])
+
+
+def test_prose_in_the_way_of_hints():
+    prose = " ".join(f"Sentence number {i} about it." for i in range(25))
+    assert html_extract.main_text(f'<p>{ARTICLE}</p><div class="related-work"><h2>Related</h2><p>{prose}</p></div><p>End.</p>') == f"{ARTICLE}\nRelated\n{prose}\nEnd."
+    assert html_extract.main_text(f'<p>{ARTICLE}</p><div class="related"><ul><li><a href=x>{ARTICLE}</a></ul></div><p>End.</p>') == f"{ARTICLE}\nEnd."
+    five = [f"{ARTICLE} No. {i}" for i in range(5)]
+    assert html_extract.main_text("<article><p>Teaser</article>" + "".join(f"<p>{x}</p>" for x in five)) == "\n".join(["Teaser", *five])
+    assert html_extract.main_text("<main><p>x</p><div></div><p>y</p></main>") == "x\ny"
+    assert html_extract.main_text(f"<article><p>Let <math><mi>x</mi></math> be <label>so</label>. {ARTICLE}</article>") == f"Let x be so. {ARTICLE}"
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a '", '<a "', "<", "</", "<!--", "<![CDATA[", "<script>", "<a b='", "&", "<p a=\"'>", "<div class='related'>", "</div><p>"])
+def test_broken_markup_takes_time_in_proportion(piece):
+    import time
+
+    began = time.process_time()
+    html_extract.main_text(f"<p>{ARTICLE}</p>" + piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 20
+
+
+def test_pages_against_their_making():
+    """Pages written from known articles, with all kinds of other elements around and inside them."""
+    rng = np.random.default_rng(31)
+    text = lambda low, high: " ".join("w%d" % rng.integers(99) for _ in range(rng.integers(low, high)))
+    other = ["<nav><ul><li><a href=x>{}</a><li><a href=y>m</a></ul></nav>", "<footer>{}</footer>", "<aside><p>{}</p></aside>", "<form><label>{}</label><input></form>", "<div class='ad'>{}</div>", "<div id='cookie-notice'><p>{}</p></div>", "<section class='comments'><p>{}</p></section>", "<script>var a = '<p>{}</p>';</script>", "<style>p{{}} {}</style>", "<!-- {} -->", "<div role='banner'>{}</div>"]
+    noise = lambda: "".join(rng.choice(other).format(text(1, 60)) for _ in range(rng.integers(0, 4)))
+    for k in range(150):
+        blocks = [text(1, 50) for _ in range(rng.integers(1, 12))]
+        tag = rng.choice(["article", "main", "div"])
+        body = "".join((f"<h2>{b}</h2>" if rng.random() < 0.2 else f"<p>{b} &amp;\n <b>so</b>{'</p>' if rng.random() < 0.7 else ''}") + noise() for b in blocks)
+        want = [b if f"<h2>{b}</h2>" in body else f"{b} & so" for b in blocks]
+        assert html_extract.main_text(f"<html><head><title>{text(1, 9)}</title></head><body>{noise()}<{tag}>{body}</{tag}>{noise()}</body></html>") == "\n".join(want), k
+
+
 # 3. urls
 
 URLS = {
