@@ -14,9 +14,10 @@ unseen words have one share in all.
 Training: truncated backpropagation through ``STEPS`` words with the state
 carried on from window to window and cleared at each document's start.  A first
 model learns from a few documents (about ``SEED_DOCS`` at most, however large
-the corpus); then all partitions continue from it, each on its part of all
+the corpus); then all trainers continue from it, each on its part of all
 training documents, and their parameters are averaged by the number of words
-seen.
+seen.  Their number goes by that of the words, so that the scores don't change
+with the number of partitions.
 
 Scoring: documents of a batch run in step, longest first, with the state
 carried across windows to the end of each document.
@@ -29,11 +30,13 @@ they occur in training; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +53,11 @@ WINDOWS = 64
 SCORE_ROWS = 1 << 16
 BLOCK = 1024  # rows of logits at a time, to stay in the processor's cache
 SEED_DOCS = 512
+TRAINER_WORDS = 1 << 21
+MOST_TRAINERS = 4096
+#: Words that a trainer's streams share out at a time.
+LEARN_WORDS = 1 << 19
+PIECES = 16
 CHUNK = 1 << 22
 #: The end token's place among word hashes: no word is hashed to it but by chance.
 END = np.uint64(0x9D39247E33776D41)
@@ -101,13 +109,21 @@ def _step(p: dict, h: np.ndarray, x: np.ndarray):
 
 def _softmax(a: np.ndarray) -> np.ndarray:
     """The softmax of each row; overwrites ``a``."""
-    if len(a) and np.abs(a).max() > 60:
+    if len(a) and max(a.max(), -a.min()) > 60:
         a -= a.max(axis=1, keepdims=True)
     np.exp(a, out=a)
-    a /= a.sum(axis=1, keepdims=True)
+    a *= np.reciprocal(a @ np.ones(a.shape[1], a.dtype))[:, None]
     return a
 
 
+def _errors(logits: np.ndarray, at: np.ndarray, share: int) -> np.ndarray:
+    """The softmax of each row less one at its place, over ``share``; overwrites ``logits``."""
+    q = _softmax(logits)
+    q[np.arange(len(at)), at] -= 1
+    q /= share
+    return q
+
+
 def _picked_log_softmax(a: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The log softmax of one place of each row; overwrites ``a``."""
     if len(a) and a.max() > 60:
@@ -121,7 +137,7 @@ def log_probabilities(p: dict, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural log probability of each id after its state."""
     of = (ids // CLASS_SIZE).astype(np.uint16)
     order = np.argsort(of, kind="stable")
-    h, words = h[order], ids[order]
+    h, words = h.take(order, axis=0), ids[order]
     bounds = np.searchsorted(of[order], np.arange(len(p["c"]) + 1))
     of = of[order]
     found = np.empty(len(ids), dtype=h.dtype)
@@ -160,7 +176,7 @@ def score_documents(p: dict, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
             states.append(h)
             words.append(word)
             owners.append(live)
-            h = _step(p, h, p["X"][word])[0]
+            h = _step(p, h, p["X"].take(word, axis=0))[0]
             rows, t = rows + live, t + 1
         log_p = log_probabilities(p, np.concatenate(states), np.concatenate(words))
         at = 0
@@ -215,29 +231,35 @@ class Trainer:
                 h = h * clear
             else:
                 old = h
-                h, z, r, new, u = _step(p, old, p["X"][before])
+                h, z, r, new, u = _step(p, old, p["X"].take(before, axis=0))
                 kept.append((clear, (before, old, z, r, new, u)))
                 h = h * clear
             states.append(h)
         flat_h, flat_w = np.concatenate(states), words.ravel()
         grads = {k: np.zeros_like(p[k]) for k in ("C", "c", "U")}
-        of = flat_w // CLASS_SIZE
-        prob = _softmax(flat_h @ p["C"] + p["c"])
-        prob[np.arange(len(of)), of] -= 1
-        prob /= share or streams
-        grads["C"], grads["c"] = flat_h.T @ prob, prob.sum(axis=0)
-        d_h = prob @ p["C"].T
+        of = (flat_w // CLASS_SIZE).astype(np.uint16)
+        d_h, ones = np.empty_like(flat_h), np.ones(BLOCK, flat_h.dtype)
+        for a in range(0, len(of), BLOCK):
+            own = flat_h[a : a + BLOCK]
+            q = _errors(own @ p["C"] + p["c"], of[a : a + BLOCK], share or streams)
+            grads["C"] += own.T @ q
+            grads["c"] += ones[: len(q)] @ q
+            d_h[a : a + BLOCK] = q @ p["C"].T
         order = np.argsort(of, kind="stable")
         bounds = np.searchsorted(of[order], np.arange(len(p["c"]) + 1))
         for k in np.flatnonzero(np.diff(bounds)):
-            at, rows = order[bounds[k] : bounds[k + 1]], slice(k * CLASS_SIZE, (k + 1) * CLASS_SIZE)
-            own = flat_h[at]
-            q = _softmax(own @ p["V"][rows].T + p["v"][rows])
-            q[np.arange(len(at)), flat_w[at] - k * CLASS_SIZE] -= 1
-            q /= share or streams
-            d_h[at] += q @ p["V"][rows]
-            self._move("V", q.T @ own, rows)
-            self._move("v", q.sum(axis=0), rows)
+            rows = slice(k * CLASS_SIZE, (k + 1) * CLASS_SIZE)
+            out, bias = p["V"][rows], p["v"][rows]
+            d_out, d_bias = np.zeros_like(out), np.zeros_like(bias)
+            for a in range(bounds[k], bounds[k + 1], BLOCK):
+                at = order[a : min(a + BLOCK, bounds[k + 1])]
+                own = flat_h.take(at, axis=0)
+                q = _errors(own @ out.T + bias, flat_w[at] - k * CLASS_SIZE, share or streams)
+                d_h[at] += q @ out
+                d_out += q.T @ own
+                d_bias += ones[: len(q)] @ q
+            self._move("V", d_out, rows)
+            self._move("v", d_bias, rows)
         d_h = d_h.reshape(steps, streams, n)
         carry = np.zeros_like(h)
         inputs, deltas = [], []
@@ -257,19 +279,21 @@ class Trainer:
             grads["U"] += old.T @ d_u
             carry = d * z + d_u @ p["U"].T
         if inputs:
-            rows, where = np.unique(np.concatenate(inputs), return_inverse=True)
-            stacked = np.concatenate(deltas)
-            by = np.argsort(where, kind="stable")
-            begin = np.flatnonzero(np.diff(where[by], prepend=-1))
-            self._move("X", np.add.reduceat(stacked[by], begin, axis=0), rows)
+            met, stacked = np.concatenate(inputs).astype(np.uint16), np.concatenate(deltas)
+            by = np.argsort(met, kind="stable")
+            begin = np.flatnonzero(np.diff(met[by].astype(np.int32), prepend=-1))
+            self._move("X", np.add.reduceat(stacked.take(by, axis=0), begin, axis=0), met[by[begin]])
         for k in ("C", "c", "U"):
             self._move(k, grads[k], slice(None))
         return h, words[-1]
 
     def _move(self, name: str, grad: np.ndarray, rows) -> None:
-        grad = np.clip(grad, -1, 1)
-        self.sums[name][rows] += grad * grad
-        self.p[name][rows] -= self.rate * grad / np.sqrt(self.sums[name][rows])
+        grad = np.minimum(np.maximum(grad, -1), 1)
+        sums = self.sums[name][rows] + grad * grad
+        self.sums[name][rows] = sums
+        grad *= self.rate
+        grad /= np.sqrt(sums)
+        self.p[name][rows] -= grad
 
 
 @dataclass
@@ -340,34 +364,70 @@ def _ids(lexicon: Lexicon, hashes: np.ndarray) -> np.ndarray:
     return ids
 
 
+def _in_chunks(documents: Iterator[tuple[np.ndarray, np.ndarray]], words: int = LEARN_WORDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The documents (ids, starts and end) in pieces of ``words`` or just more, however they came."""
+    held, ends, size = [], [0], 0
+    for ids, first in documents:
+        at = 0  # the first document not yet taken
+        while at < len(first) - 1:
+            stop = min(len(first) - 1, at + 1 + int(np.searchsorted(first[at + 1 :], first[at] + words - size)))
+            held.append(ids[first[at] : first[stop]])
+            ends += (first[at + 1 : stop + 1] - first[at] + size).tolist()
+            size, at = ends[-1], stop
+            if size >= words:
+                yield np.concatenate(held), np.array(ends)
+                held, ends, size = [], [0], 0
+    if size:
+        yield np.concatenate(held), np.array(ends)
+
+
 def train(texts: DataFrame, lexicon, start: Parameters, parts: int) -> Parameters:
-    """One pass from ``start`` in each of ``parts`` partitions, averaged by words seen."""
+    """One pass from ``start`` by each trainer, averaged by words seen.
+
+    There is one trainer for ``TRAINER_WORDS`` of the corpus (``MOST_TRAINERS``
+    at most), or one in all if ``parts`` is 1.  What a trainer learns from, and
+    in which order, goes by the rows' hash alone: so does the result, whatever
+    the number of ``parts`` that the trainers are dealt to.
+    """
     begin = texts.sparkSession.sparkContext.broadcast(start)
+    trainers = 1 if parts == 1 else min(MOST_TRAINERS, max(1, -(-lexicon.value.tokens // TRAINER_WORDS)))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(begin.value)
-        for batch in batches:
-            for c in chunks(batch.column(0), SPACED_LOWER, size=CHUNK):
-                hashes, first = with_ends(c.hashes, c.first)
-                trainer.learn(_ids(lexicon.value, hashes), first[:-1])
-        if trainer.seen:
-            flat = Parameters(trainer.p).flat()
-            pieces = np.array_split(flat, 16)
-            yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([trainer.seen] * 16, pa.int64()), pa.array([x.tobytes() for x in pieces], pa.binary())], ["piece", "seen", "weights"])
+        def slices() -> Iterator[tuple[int, pa.Array]]:
+            for batch in batches:
+                of = batch.column(0).to_numpy()
+                bounds = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of))
+                for a, b in itertools.pairwise(bounds):
+                    yield int(of[a]), batch.column(1).slice(a, b - a)
+
+        def documents(group) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for _, rows in group:
+                for c in chunks(rows, SPACED_LOWER, size=CHUNK):
+                    hashes, first = with_ends(c.hashes, c.first)
+                    yield _ids(lexicon.value, hashes), first
+
+        for of, group in itertools.groupby(slices(), key=lambda x: x[0]):
+            trainer = Trainer(begin.value)
+            for ids, first in _in_chunks(documents(group)):
+                trainer.learn(ids, first[:-1])
+            pieces = np.array_split(Parameters(trainer.p).flat(), PIECES)
+            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([of] * PIECES, pa.int32()), pa.array([trainer.seen] * PIECES, pa.int64()), pa.array([x.tobytes() for x in pieces], pa.binary())], ["piece", "trainer", "seen", "weights"])
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
         for batch in batches:
-            for piece, seen, weights in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for piece, seen, weights in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
                 value = np.frombuffer(weights, dtype=np.float32).astype(np.float64) * seen
                 old = sums.get(piece)
                 sums[piece] = [old[0] + seen, old[1] + value] if old else [seen, value]
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s for s, _ in sums.values()], pa.int64()), pa.array([(v / s).astype(np.float32).tobytes() for s, v in sums.values()], pa.binary())], ["piece", "seen", "weights"])
+            k = len(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.nulls(k, pa.int32()), pa.array([s for s, _ in sums.values()], pa.int64()), pa.array([(v / s).astype(np.float32).tobytes() for s, v in sums.values()], pa.binary())], ["piece", "trainer", "seen", "weights"])
 
-    shape = "piece int, seen long, weights binary"
-    learned = texts.repartition(parts, F.xxhash64("doc_id", "text")).select("text").mapInArrow(learn, shape)
-    rows = learned.repartition(16, "piece").mapInArrow(average, shape).toArrow().to_pydict()
+    shape = "piece int, trainer int, seen long, weights binary"
+    dealt = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(trainers)).cast("int").alias("trainer"), F.xxhash64("text", "doc_id").alias("place"), "text")
+    learned = dealt.repartition(parts, "trainer").sortWithinPartitions("trainer", "place", "text").select("trainer", "text").mapInArrow(learn, shape)
+    rows = learned.repartition(PIECES, "piece").sortWithinPartitions("piece", "trainer").mapInArrow(average, shape).toArrow().to_pydict()
     if not rows["piece"]:
         return start
     return start.like(np.concatenate([np.frombuffer(w, dtype=np.float32) for _, w in sorted(zip(rows["piece"], rows["weights"], strict=True))]))

@@ -427,6 +427,33 @@ def test_language_model_learns_from_every_training_document(spark, monkeypatch):
     assert 0 < given[0][0] < 60  # the one task's share doesn't grow with the corpus
 
 
+def test_scores_do_not_change_with_the_partitions(corpus, spark, monkeypatch):
+    monkeypatch.setattr(recurrent_lm, "TRAINER_WORDS", 1000)
+    _, docs = corpus
+    scores = lambda frame: as_rows(recurrent_lm.score_corpus(frame).withColumn("s", F.round("score", 3)), "doc_id", "n_tokens", "s")
+    first = scores(docs)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        assert scores(docs.repartition(3)) == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_chunks_are_those_of_the_documents():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(1, 40, 60)
+    sizes[30] = 500
+    ids, first = np.arange(sizes.sum(), dtype=np.int32), np.append(0, np.cumsum(sizes))
+    for cuts in ([0, 60], [0, 1, 2, 30, 31, 60], list(range(61))):
+        given = [(ids[first[a] : first[b]], first[a : b + 1] - first[a]) for a, b in itertools.pairwise(cuts)]
+        made = list(recurrent_lm._in_chunks(iter(given), 100))
+        assert np.array_equal(np.concatenate([x for x, _ in made]), ids)
+        assert np.array_equal(np.concatenate([np.diff(f) for _, f in made]), sizes)
+        assert all(f[-1] == len(x) >= 100 > f[-2] for x, f in made[:-1])
+
+
 def test_trainer_learns_from_every_word():
     import numpy as np
 
