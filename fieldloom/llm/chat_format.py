@@ -6,20 +6,30 @@ roles, each beginning or going on; what it sees of a line is a speaker marker
 whether a question or a long line follows, and whether a quotation just ended.
 The most likely states (Viterbi) give the turns, which are rendered alike.
 
+The model is counted from lines whose states are known (``fit``): how often a
+conversation starts in a state, a state follows another, and a state shows each
+thing seen, all with one added.  Without such
+lines the model is that of the tables below.
+
 A long conversation is cut into blocks of ``BLOCK_LINES`` lines.  A block is
 summed up by the best score from each state before it to each state at its end;
 the blocks' tables are chained, and then every block is decoded between the
 states that the chain went through.  The result is that of one pass over the
-whole conversation, but no task holds more than a block of its lines.
+whole conversation.  A Python task holds one block of lines, or one small table
+for each block; numbering the lines streams through a sort.
 
 Edge cases: a null line is blank; a conversation of blank lines has one turn;
 lines with one number are ordered by their text; a null conversation id is a
-conversation; an empty table gives no turns; other columns are ignored.
+conversation; an empty table gives no turns; other columns are ignored.  Of
+``as_transcript``: rows with a null turn come last; rows with one conversation
+and turn follow each other whole, in the order of a hash of role and text, and
+equal rows as often as they occur; a null or unknown role is the user's.
 """
 
 from __future__ import annotations
 
 import itertools
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +45,7 @@ QUOTE = r"^>[ \t]?"
 
 # What is seen of a line: nothing, a role's marker, a quotation, a blank line, plain text after a quotation.
 PLAIN, SYSTEM, USER, ASSISTANT, QUOTED, BLANK, AFTER_QUOTE = range(7)
-# States: a role begins (0, 1, 2) or goes on (3, 4, 5).  Fixed values: the model.
+# States: a role begins (0, 1, 2) or goes on (3, 4, 5).  Fixed values: the model without counts.
 START = (0.15, 0.70, 0.13, 0.006, 0.007, 0.007)
 MOVES = (
     (0.01, 0.44, 0.05, 0.50, 0.0, 0.0),
@@ -68,6 +78,24 @@ def _logs() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, moves, (seen.T[:, None, :] + extra[None, :, :]).reshape(28, 6)
 
 
+@dataclass(frozen=True)
+class Model:
+    """Log probabilities: of states at the start, of moves, and of what is seen in each state."""
+
+    start: np.ndarray
+    moves: np.ndarray
+    scores: np.ndarray  # (seen, state)
+
+    @staticmethod
+    def of(starts: np.ndarray, moves: np.ndarray, seen: np.ndarray) -> Model:
+        """From counts, to each of which one is added if it can occur."""
+        before, after = np.arange(6)[:, None], np.arange(6)[None, :]
+        able = (after < len(ROLES)) | (after % len(ROLES) == before % len(ROLES))  # only the same role goes on
+        with np.errstate(divide="ignore"):
+            share = lambda counts, axis: np.log(counts / counts.sum(axis=axis, keepdims=True))
+            return Model(share(starts + 1.0, 0), share((moves + 1.0) * able, 1), share(seen + 1.0, 0))
+
+
 def observed(lines: DataFrame, order: Window) -> DataFrame:
     """Adds ``seen`` (0 to 27) and ``body``, the line without its marker."""
     line = F.coalesce(F.col("line"), F.lit(""))
@@ -93,9 +121,9 @@ def _through(seen: np.ndarray, moves: np.ndarray, scores: np.ndarray, first: np.
     return table
 
 
-def decode(seen: np.ndarray, before: int | None = None, last: int | None = None) -> np.ndarray:
+def decode(seen: np.ndarray, before: int | None = None, last: int | None = None, model: Model | None = None) -> np.ndarray:
     """The most likely states of some lines, between given states."""
-    start, moves, scores = _logs()
+    start, moves, scores = (model.start, model.moves, model.scores) if model else _logs()
     best = (start if before is None else moves[before]) + scores[seen[0]]
     back = np.zeros((len(seen), 6), dtype=np.int8)
     for t, s in enumerate(seen[1:], 1):
@@ -109,8 +137,24 @@ def decode(seen: np.ndarray, before: int | None = None, last: int | None = None)
     return out
 
 
-def parse_transcripts(lines: DataFrame) -> DataFrame:
+def fit(labelled: DataFrame) -> Model:
+    """The model of ``labelled``: conv_id, line_no, line, state.  Only its counts leave the tasks."""
+    conversation = Window.partitionBy("conv_id").orderBy("line_no", "line")
+    known = observed(labelled.select("conv_id", "line_no", F.col("line").cast("string").alias("line"), "state"), conversation).select(F.lag("state").over(conversation).alias("before"), "state", "seen")
+    starts, moves, seen = np.zeros(6), np.zeros((6, 6)), np.zeros((28, 6))
+    counted = known.groupBy("before", "state", "seen").agg(F.count("*").alias("n"))
+    for r in counted.toLocalIterator():  # at most 7 * 6 * 28 rows
+        if r.before is None:
+            starts[r.state] += r.n
+        else:
+            moves[r.before, r.state] += r.n
+        seen[r.seen, r.state] += r.n
+    return Model.of(starts, moves, seen)
+
+
+def parse_transcripts(lines: DataFrame, model: Model | None = None) -> DataFrame:
     """``lines``: conv_id, line_no, line.  Returns conv_id, turn, role, text, n_lines, rendered."""
+    model = model or Model(*_logs())
     conversation = Window.partitionBy("conv_id").orderBy("line_no", "line")
     kind = lines.schema["conv_id"].dataType.simpleString()
     numbered = observed(lines.select("conv_id", "line_no", F.col("line").cast("string").alias("line")), conversation).withColumn("at", F.row_number().over(conversation) - 1).withColumn("block", F.floor(F.col("at") / BLOCK_LINES).cast("int"))
@@ -120,9 +164,8 @@ def parse_transcripts(lines: DataFrame) -> DataFrame:
 
     def sum_up(table: pa.Table) -> pa.Table:
         table = in_order(table, "at")
-        start, moves, scores = _logs()
         block = table["block"][0].as_py()
-        through = _through(table["seen"].to_numpy(), moves, scores, start if block == 0 else None)
+        through = _through(table["seen"].to_numpy(), model.moves, model.scores, model.start if block == 0 else None)
         return pa.table({"conv_id": table["conv_id"].slice(0, 1), "block": pa.array([block], pa.int32()), "through": pa.array([through.tobytes()], pa.binary())})
 
     def chain(table: pa.Table) -> pa.Table:
@@ -141,7 +184,7 @@ def parse_transcripts(lines: DataFrame) -> DataFrame:
 
     def in_block(table: pa.Table) -> pa.Table:
         table = in_order(table, "at")
-        states = decode(table["seen"].to_numpy(), table["before"][0].as_py(), table["last"][0].as_py())
+        states = decode(table["seen"].to_numpy(), table["before"][0].as_py(), table["last"][0].as_py(), model)
         return pa.table({"conv_id": table["conv_id"], "at": table["at"], "body": table["body"], "state": pa.array(states, pa.int32())})
 
     summed = numbered.select("conv_id", "block", "at", "seen").groupBy("conv_id", "block").applyInArrow(sum_up, f"conv_id {kind}, block int, through binary")
@@ -161,18 +204,39 @@ def render(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), role, F.lit("|>\n"), text, F.lit("<|end|>\n"))
 
 
-def as_transcript(conversations: DataFrame) -> DataFrame:
-    """Turns (conv_id, turn, role, text) written as the lines of a transcript.
+def labelled_lines(conversations: DataFrame) -> DataFrame:
+    """Turns (conv_id, turn, role, text) written as the lines of a transcript, with the state of each.
 
     The way speakers are marked goes by a hash of the conversation: names,
     headings, letters, or quotation for the user and nothing for the assistant.
     """
     style = F.pmod(F.xxhash64("conv_id"), F.lit(4))
-    role = F.coalesce("role", F.lit("user"))
+    role = F.when(F.col("role").isin(*ROLES), F.col("role")).otherwise("user")
     name = F.initcap(role)
     letter = F.when(role == "user", "Q").when(role == "assistant", "A").otherwise("Context")
     text = F.coalesce("text", F.lit(""))
     quoted = F.when(role == "user", F.regexp_replace(text, r"(?m)^", "> ")).when(role == "assistant", text).otherwise(F.concat(F.lit("System: "), text))
     written = F.when(style == 0, F.concat(name, F.lit(": "), text)).when(style == 1, F.concat(F.lit("### "), name, F.lit(":\n"), text)).when(style == 2, F.concat(letter, F.lit(": "), text)).otherwise(quoted)
-    split = conversations.select("conv_id", F.coalesce("turn", F.lit(0)).cast("long").alias("turn"), F.posexplode(F.split(written, "\n")).alias("k", "line"))
-    return split.select("conv_id", (F.col("turn") * (1 << 24) + F.col("k")).alias("line_no"), "line")
+    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    counted = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("times"))
+    number = F.create_map(*[F.lit(x) for pair in zip(ROLES, range(len(ROLES)), strict=True) for x in pair])[role]
+    each = counted.select("conv_id", "turn", number.alias("role_no"), F.xxhash64("role", "text").alias("row"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"), F.split(written, "\n").alias("lines"))
+    split = each.select("conv_id", "turn", "role_no", "row", "copy", F.posexplode("lines").alias("k", "line"))
+    place = F.struct(F.col("turn").isNull().alias("unset"), "turn", "row", "copy", "k")
+    return split.select("conv_id", place.alias("line_no"), "line", (F.col("role_no") + F.when(F.col("k") > 0, len(ROLES)).otherwise(0)).cast("int").alias("state"))
+
+
+def as_transcript(conversations: DataFrame) -> DataFrame:
+    """As ``labelled_lines``, without the states."""
+    return labelled_lines(conversations).drop("state")
+
+
+def format_conversations(conversations: DataFrame, folds: int = 4, fold: int = 2) -> DataFrame:
+    """Writes all conversations as transcripts and recovers their turns.
+
+    The model is counted from the conversations whose crc32(conv_id as text)
+    doesn't leave ``fold``; adds held_out for the others.
+    """
+    held_out = F.coalesce(F.crc32(F.col("conv_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
+    model = fit(labelled_lines(conversations.where(~held_out)))
+    return parse_transcripts(as_transcript(conversations), model).withColumn("held_out", held_out)

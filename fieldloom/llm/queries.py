@@ -36,7 +36,7 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chat_format.parse_transcripts(_chat_format.as_transcript(_table(spark, sf_dir, "conversations")))
+    return _chat_format.format_conversations(_table(spark, sf_dir, "conversations"))
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

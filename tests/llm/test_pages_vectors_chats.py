@@ -254,3 +254,47 @@ def test_round_trip(spark):
     frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     got = chat_format.parse_transcripts(chat_format.as_transcript(frame))
     assert sorted(tuple(r) for r in got.select("conv_id", "turn", "role", "text").collect()) == sorted(rows)
+
+
+def test_rows_of_one_turn_follow_each_other_whole(spark):
+    rows = [(0, 0, "user", "hello\nthere"), (0, 0, "user", "hello\nthere"), (0, 1, "assistant", "yes"), (2, None, "user", "AA\nBB"), (2, 0, "user", "first\nsecond"), (2, 1, "assistant", "ok")]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    for style in (0, 2):  # of conversations 0 and 2, whatever they are: no line may stand between those of its row
+        lines = [(r.conv_id, r.line) for r in chat_format.as_transcript(frame).orderBy("conv_id", "line_no").collect() if r.conv_id == style]
+        text = "\n".join(x.replace("> ", "") for _, x in lines)
+        assert text.count("hello\nthere") == (2 if style == 0 else 0)
+        if style == 2:
+            assert text.index("first\nsecond") < text.index("ok") < text.index("AA\nBB")
+
+
+def test_model_is_counted_from_known_lines(spark):
+    rows = [(c, t, ("user", "assistant")[t % 2], f"text {c} of turn {t}.\nmore\n\nend") for c in range(60) for t in range(4)] + [(None, None, None, None), (7, 9, "narrator", "")]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("state", F.lit("clash"))
+    model = chat_format.fit(chat_format.labelled_lines(frame))
+    starts, moves = np.zeros(6), np.zeros((6, 6))
+    states = {}
+    for r in sorted(chat_format.labelled_lines(frame).collect(), key=lambda r: (r.conv_id is None, r.conv_id or 0, tuple(x or 0 for x in r.line_no))):
+        states.setdefault(r.conv_id, []).append(r.state)
+    assert states[7][-1] % 3 == 1 and states[None][0] == 1
+    for path in states.values():
+        starts[path[0]] += 1
+        for a, b in itertools.pairwise(path):
+            moves[a, b] += 1
+    able = np.array([[b < 3 or b % 3 == a % 3 for b in range(6)] for a in range(6)])
+    assert np.allclose(np.exp(model.start), (starts + 1) / (starts + 1).sum())
+    assert np.allclose(np.exp(model.moves), (moves + 1) * able / ((moves + 1) * able).sum(axis=1, keepdims=True))
+    assert np.allclose(np.exp(model.scores).sum(axis=0), 1)
+    assert chat_format.fit(chat_format.labelled_lines(frame.limit(0))).moves.shape == (6, 6)
+
+
+def test_held_out_conversations_come_back(spark):
+    truth = {}
+    table = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    for r in table.orderBy("conv_id", "turn").collect():
+        truth.setdefault(r.conv_id, []).append((r.role, r.text.strip(" \n\t\r")))
+    got = {}
+    for r in chat_format.format_conversations(table).where("held_out").orderBy("conv_id", "turn").collect():
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    right = sum(a == b for c in got for a, b in zip(got[c], truth[c], strict=False))
+    total = sum(len(truth[c]) for c in got)
+    assert len(got) > 10 and right >= 0.97 * total, (right, total)
