@@ -36,6 +36,10 @@ UNKNOWN = "und"
 MAX_LANGUAGES = 256
 #: Bytes of text whose contexts are looked up at once.
 CHUNK_BYTES = 1 << 19
+#: Symbols whose code lengths are held at once, also of one long text.
+SLICE = 1 << 18
+#: Parts in which each language's smallest draws are chosen before they meet.
+DRAW_PARTS = 64
 
 
 def byte_symbols() -> np.ndarray:
@@ -60,7 +64,7 @@ def _shifted(symbols: np.ndarray, starts: np.ndarray, back: int) -> np.ndarray:
     out[back:] = symbols[:-back] if back else symbols
     for j in range(back):
         at = starts + j
-        out[at[at < len(out)]] = 32
+        out[at[(at >= 0) & (at < len(out))]] = 32
     return out
 
 
@@ -84,8 +88,11 @@ def _pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
 def sample_counts(labelled: DataFrame, docs_per_language: int, order: int) -> DataFrame:
     """(lang, gram, n): the byte grams of the sampled texts; labelled: id, lang, text."""
     draw = F.xxhash64(F.col("id").cast("string"))
-    ranked = labelled.select("id", "lang", draw.alias("draw"), F.row_number().over(Window.partitionBy("lang").orderBy(draw, "id")).alias("place"))
-    chosen = ranked.where(F.col("place") <= docs_per_language).select("id", F.col("lang").alias("of")).distinct()
+    chosen = labelled.select("id", "lang", draw.alias("draw"), F.pmod(F.xxhash64("id", "lang", "text"), F.lit(DRAW_PARTS)).alias("part"))
+    for group in (("lang", "part"), ("lang",)):
+        place = F.row_number().over(Window.partitionBy(*group).orderBy("draw", "id"))
+        chosen = chosen.withColumn("place", place).where(F.col("place") <= docs_per_language).drop("place")
+    chosen = chosen.select("id", F.col("lang").alias("of")).distinct()
     texts = labelled.join(F.broadcast(chosen), (F.col("lang") == F.col("of")) & (labelled["id"] == chosen["id"]), "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,17 +128,20 @@ class ContextModel:
         out = np.zeros((len(bounds) - 1, len(self.languages)))
         if len(symbols) == 0:
             return out
-        dense = self.index[symbols].astype(np.int32)
-        best = np.ones(len(symbols), dtype=np.int32)
-        here = best
         flat = self.children.ravel()
-        starts = bounds[:-1]
-        for back in range(1, self.order + 1):
-            here = flat[here * width + self.index[_shifted(symbols, starts, back)]]
-            best = np.where(here > 0, here, best)
-        costs = self.bits[best * width + dense]
-        filled = np.flatnonzero(np.diff(bounds))
-        out[filled] = np.add.reduceat(costs, starts[filled], axis=0, dtype=np.float64)
+        for a in range(0, len(symbols), SLICE):
+            low, b = max(0, a - self.order), min(len(symbols), a + SLICE)
+            part = symbols[low:b]
+            starts = bounds[np.searchsorted(bounds, low - self.order) : np.searchsorted(bounds, b)] - low
+            best = here = np.ones(len(part), dtype=np.int32)
+            for back in range(1, self.order + 1):
+                here = flat[here * width + self.index[_shifted(part, starts, back)]]
+                best = np.where(here > 0, here, best)
+            costs = self.bits[(best * width + self.index[part])[a - low :]]
+            first, last = np.searchsorted(bounds, [a, b - 1], side="right") - 1
+            begin = np.append(np.maximum(bounds[first : last + 1], a), b) - a
+            filled = np.flatnonzero(np.diff(begin))
+            out[first + filled] += np.add.reduceat(costs, begin[filled], axis=0, dtype=np.float64)
         return out
 
 

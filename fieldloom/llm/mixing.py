@@ -14,7 +14,8 @@ first words.  A source's words thus sum to its rounded target.
 Edge cases: a null or empty text has size 0 and takes nothing; null is a source
 of its own, placed last; a source without words has target 0; an empty table
 gives an empty mix; rows that repeat a doc_id are separate documents, and of
-such rows with one size any may stand at the border; other columns are ignored.
+such rows with one size any may stand at the border; rows with a null id are
+drawn by their text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,8 +55,9 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     Returns the id, ``keep``, size, source_size, target, copies (whole
     repetitions), extra (first words of one more) and taken = copies * size + extra.
     """
-    sized = docs.select(F.col(id_column), *keep, F.col("source").alias("__source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = sized.withColumn("__draw", F.md5(F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.lit(f":{seed}")))).withColumn("__part", F.substring("__draw", 1, SPREAD_DIGITS))
+    name = F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("null "), F.xxhash64(F.col("text").cast("string")).cast("string")))
+    sized = docs.select(F.col(id_column), *keep, F.col("source").alias("__source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), name.alias("__name"))
+    sized = sized.withColumn("__draw", F.md5(F.concat("__name", F.lit(f":{seed}")))).withColumn("__part", F.substring("__draw", 1, SPREAD_DIGITS))
     parts = sized.groupBy("__source", "__part").agg(F.sum("size").alias("__words"))
     sources = water_levels(parts.groupBy(F.col("__source").alias("source")).agg(F.sum("__words").alias("source_size")), weights, budget, max_epochs)
     plan = sources.select(F.col("source").alias("__of"), "source_size", "target", F.round("target").cast("long").alias("__goal"))

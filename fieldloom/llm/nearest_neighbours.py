@@ -195,12 +195,12 @@ def build_graph(nodes: DataFrame, degree: int, rounds: int, parts: int) -> DataF
     return edges.select("u", "v", "d")
 
 
-def greedy_search(starts: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int, width: int, rounds: int) -> DataFrame:
+def greedy_search(starts: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int, width: int) -> DataFrame:
     """(q, node, d): what the queries have met; ``starts``: q, vector of query nodes."""
     around = checkpointed(graph.select("u", "v").unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     met = checkpointed(starts.select("q", F.col("q").alias("node"), F.lit(0.0).alias("d"), F.lit(False).alias("done")))
     order = Window.partitionBy("q").orderBy("d", "node")
-    for _ in range(rounds):
+    while True:  # ends, as every round expands nodes that weren't
         ranked = met.withColumn("place", F.row_number().over(order))
         turn = Window.partitionBy("q").orderBy("place")
         chosen = ranked.where((F.col("place") <= beam) & ~F.col("done")).withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= width).select("q", "node")
@@ -216,7 +216,7 @@ def greedy_search(starts: DataFrame, graph: DataFrame, nodes: DataFrame, beam: i
     return met.select("q", "node", "d")
 
 
-def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, degree: int = 44, rounds: int = 7, beam: int = 96, width: int = 16, search_rounds: int = 10, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, degree: int = 44, rounds: int = 7, beam: int = 96, width: int = 16, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """The ``k`` nearest of each row whose id is divisible by ``every``.
 
     Returns query_id, rank from 1, vec_id, score.
@@ -233,7 +233,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, degree
     belongs = checkpointed(belongs)
     queries = belongs.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("node").alias("q"))
     starts = checkpointed(queries.select("q").distinct().join(nodes.select(F.col("node").alias("q"), "vector"), "q"))
-    met = greedy_search(starts, checkpointed(graph), nodes.select("node", "vector"), beam, width, search_rounds)
+    met = greedy_search(starts, checkpointed(graph), nodes.select("node", "vector"), beam, width)
     close = met.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("d", "node"))).where(F.col("place") <= k + 1).select("q", "node", F.col("d").alias("score"))
     found = queries.join(close, "q").join(belongs.where(F.col("place") <= k + 1).select("node", "vec_id"), "node").where(F.col("vec_id") != F.col("query_id"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))

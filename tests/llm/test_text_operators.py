@@ -111,6 +111,16 @@ def test_mixed_rows(corpus):
     assert {k: v.taken for k, v in plan.items() if v.taken} == dict(words)
 
 
+def test_rows_without_ids_are_drawn_by_their_text(spark):
+    rows = [(None, " ".join(["w"] * (1 + k % 7)) + f" {k}", f"s{k % 2}") for k in range(400)]
+    plan = mixing.mix_plan(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    sizes, taken = Counter(), Counter()
+    for r in plan.collect():
+        sizes[r.source_size, r.target] += r["size"]
+        taken[r.source_size, r.target] += r.taken
+    assert all(abs(taken[k] - k[1]) <= 0.5 and sizes[k] == k[0] for k in sizes) and len(sizes) == 2
+
+
 def test_mixing_nothing(empty):
     assert mixing.mix_plan(empty).count() == 0 and mixing.mix(empty).count() == 0
 
@@ -170,6 +180,23 @@ def test_code_lengths_are_exact():
         assert math.isclose(got[k], want, rel_tol=1e-5)
 
 
+def test_long_texts_are_summed_in_slices(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    letters = np.frombuffer(b"abcde ", dtype=np.uint8)
+    grams = {lang: {int(x): 1 + int(x) % 5 for x in (letters[rng.integers(0, 6, 300)].astype(np.int64) << 16) | (letters[rng.integers(0, 6, 300)].astype(np.int64) << 8) | letters[rng.integers(0, 6, 300)]} for lang in ("x", "y", "z")}
+    model = language_id.fit({k: (np.array(sorted(g), dtype=np.int64), np.array([g[x] for x in sorted(g)])) for k, g in grams.items()}, order=2)
+    sizes = np.array([0, 3, 1, 0, 40, 2, 7, 0, 100, 1, 0])
+    symbols, bounds = letters[rng.integers(0, 6, sizes.sum())], np.append(0, np.cumsum(sizes))
+    whole = model.code_lengths(symbols, bounds)
+    for size in (1, 2, 3, 10, 41):
+        monkeypatch.setattr(language_id, "SLICE", size)
+        assert np.allclose(model.code_lengths(symbols, bounds), whole)
+    alone = np.array([model.code_lengths(symbols[a:b], np.array([0, b - a]))[0] for a, b in itertools.pairwise(bounds)])
+    assert np.allclose(alone, whole)
+
+
 def test_language_of_nothing(spark, empty):
     assert language_id.identify_languages(empty).count() == 0
     unlabelled = spark.createDataFrame([(1, "some text", None)], "doc_id bigint, text string, lang string")
