@@ -59,6 +59,10 @@ MOST_TRAINERS = 4096
 LEARN_WORDS = 1 << 19
 PIECES = 16
 CHUNK = 1 << 22
+#: Bytes of text that are scored in step: the more documents, the fewer steps.
+SCORE_CHUNK = 1 << 24
+#: Places of the table in which most words are found at once.
+SLOTS = 1 << 20
 #: The end token's place among word hashes: no word is hashed to it but by chance.
 END = np.uint64(0x9D39247E33776D41)
 LN10 = float(np.log(10.0))
@@ -102,9 +106,14 @@ def _step(p: dict, h: np.ndarray, x: np.ndarray):
     np.exp(gates, out=gates)
     gates += 1
     np.reciprocal(gates, out=gates)
-    z, r = gates[:, :n], gates[:, n:]
-    new = np.tanh(x[:, 2 * n :] + r * u[:, 2 * n :])
-    return new + z * (h - new), z, r, new, u[:, 2 * n :]
+    z, r, u = (np.ascontiguousarray(a) for a in (gates[:, :n], gates[:, n:], u[:, 2 * n :]))
+    new = r * u
+    new += x[:, 2 * n :]
+    np.tanh(new, out=new)
+    out = h - new
+    out *= z
+    out += new
+    return out, z, r, new, u
 
 
 def _softmax(a: np.ndarray) -> np.ndarray:
@@ -165,13 +174,14 @@ def score_documents(p: dict, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.zeros(len(order))
     h = np.zeros((len(order), p["U"].shape[0]), dtype=np.float32)
     longest = int(lengths[0]) if len(lengths) else 0
+    live_at = np.searchsorted(-lengths, -np.arange(longest), side="left").tolist()  # documents longer than t
     t = 0
     while t < longest:
         states, words, owners = [], [], []
         rows = 0
         while t < longest and rows < SCORE_ROWS:
-            live = int(np.searchsorted(-lengths, -t, side="left"))  # documents longer than t
-            word = ids[begin[:live] + t]
+            live = live_at[t]
+            word = ids.take(begin[:live] + t)
             h = h[:live]
             states.append(h)
             words.append(word)
@@ -236,7 +246,7 @@ class Trainer:
                 h = h * clear
             states.append(h)
         flat_h, flat_w = np.concatenate(states), words.ravel()
-        grads = {k: np.zeros_like(p[k]) for k in ("C", "c", "U")}
+        grads = {k: np.zeros_like(p[k]) for k in ("C", "c", "U", "V", "v")}
         of = (flat_w // CLASS_SIZE).astype(np.uint16)
         d_h, ones = np.empty_like(flat_h), np.ones(BLOCK, flat_h.dtype)
         for a in range(0, len(of), BLOCK):
@@ -249,8 +259,7 @@ class Trainer:
         bounds = np.searchsorted(of[order], np.arange(len(p["c"]) + 1))
         for k in np.flatnonzero(np.diff(bounds)):
             rows = slice(k * CLASS_SIZE, (k + 1) * CLASS_SIZE)
-            out, bias = p["V"][rows], p["v"][rows]
-            d_out, d_bias = np.zeros_like(out), np.zeros_like(bias)
+            out, bias, d_out, d_bias = p["V"][rows], p["v"][rows], grads["V"][rows], grads["v"][rows]
             for a in range(bounds[k], bounds[k + 1], BLOCK):
                 at = order[a : min(a + BLOCK, bounds[k + 1])]
                 own = flat_h.take(at, axis=0)
@@ -258,8 +267,6 @@ class Trainer:
                 d_h[at] += q @ out
                 d_out += q.T @ own
                 d_bias += ones[: len(q)] @ q
-            self._move("V", d_out, rows)
-            self._move("v", d_bias, rows)
         d_h = d_h.reshape(steps, streams, n)
         carry = np.zeros_like(h)
         inputs, deltas = [], []
@@ -270,20 +277,27 @@ class Trainer:
                 carry = np.zeros_like(h)
                 continue
             before, old, z, r, new, u = cell
-            d_new = d * (1 - z) * (1 - new * new)
-            d_z = d * (old - new) * z * (1 - z)
-            d_r = d_new * u * r * (1 - r)
-            d_u = np.concatenate([d_z, d_r, d_new * r], axis=1)
+            keep = d * z
+            d_new = (d - keep) * (1 - new * new)
+            d_z = keep * (old - new)
+            d_z *= 1 - z
+            d_ur = d_new * r
+            d_r = d_ur * u
+            d_r *= 1 - r
+            d_x = np.concatenate([d_z, d_r, d_new], axis=1)
             inputs.append(before)
-            deltas.append(np.concatenate([d_z, d_r, d_new], axis=1))
+            deltas.append(d_x)
+            d_u = d_x.copy()
+            d_u[:, 2 * n :] = d_ur
             grads["U"] += old.T @ d_u
-            carry = d * z + d_u @ p["U"].T
+            carry = d_u @ p["U"].T
+            carry += keep
         if inputs:
             met, stacked = np.concatenate(inputs).astype(np.uint16), np.concatenate(deltas)
             by = np.argsort(met, kind="stable")
             begin = np.flatnonzero(np.diff(met[by].astype(np.int32), prepend=-1))
             self._move("X", np.add.reduceat(stacked.take(by, axis=0), begin, axis=0), met[by[begin]])
-        for k in ("C", "c", "U"):
+        for k in grads:
             self._move(k, grads[k], slice(None))
         return h, words[-1]
 
@@ -308,14 +322,26 @@ class Lexicon:
     other: int  # id of the token for all other words
     end: int
     other_mass: int  # counts plus one of the words outside the model, plus one share for unseen ones
+    slots: np.ndarray | None = None  # made by each task's own copy
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the table, and whether the words are there."""
         if not len(self.hashes):
             return np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes), dtype=bool)
-        at = np.searchsorted(self.hashes, hashes)
-        at[at == len(self.hashes)] = 0
-        return at, self.hashes[at] == hashes
+        if self.slots is None:  # the most frequent of the words with equal last bits has the slot
+            by_count = np.argsort(-self.counts, kind="stable")
+            slots, first = np.unique(self.hashes[by_count] & np.uint64(SLOTS - 1), return_index=True)
+            self.slots = np.zeros(SLOTS, dtype=np.int32)
+            self.slots[slots.astype(np.int64)] = by_count[first]
+        at = self.slots.take((hashes & np.uint64(SLOTS - 1)).astype(np.int64))
+        known = self.hashes.take(at) == hashes
+        rest = np.flatnonzero(~known)
+        if len(rest):
+            wanted = hashes[rest]
+            place = np.searchsorted(self.hashes, wanted)
+            place[place == len(self.hashes)] = 0
+            at[rest], known[rest] = place, self.hashes[place] == wanted
+        return at, known
 
 
 def with_ends(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -469,7 +495,7 @@ def score_corpus(docs: DataFrame, folds: int = 7, fold: int = 2, share: float =
         p, lex = weights.value.values, shared.value
         scale = float(lex.tokens + lex.types + 1)
         for batch in batches:
-            for c in chunks(batch.column(3), SPACED_LOWER, size=CHUNK):
+            for c in chunks(batch.column(3), SPACED_LOWER, size=SCORE_CHUNK):
                 hashes, first = with_ends(c.hashes, c.first)
                 at, known = lex.find(hashes)
                 ids = np.full(len(hashes), lex.other, dtype=np.int32)
