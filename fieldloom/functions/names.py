@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,8 +73,13 @@ def reference_parts(reference: str) -> tuple[str, str, str | None]:
 
 
 def text_17e(value: Column) -> Column:
-    """A float with 17 digits after the point."""
-    return F.format_string("%.17e", value)
+    """A float with 17 exact digits after the point; the JVM's own format pads its shortest digits with zeros."""
+
+    @F.pandas_udf("string")
+    def exact(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: f"{v:.17e}", na_action="ignore")
+
+    return exact(value.cast("double"))
 
 
 def text_g6(value: float) -> str:

@@ -74,10 +74,10 @@ def embed_axis(spark: SparkSession, sf_dir: str) -> Study:
     return Study(manifest, rows, payload, empty(spark, CELLS), quarters.unionByName(labels))
 
 
-def embed_draws(spark: SparkSession, sf_dir: str, draws: int = 40) -> Study:
-    """A row per label; its first vectors are draws of one field."""
+def embed_draws(spark: SparkSession, sf_dir: str) -> Study:
+    """A row per label; all its vectors are draws of one field."""
     order = Window.partitionBy("label").orderBy("vec_id")
-    vectors = table(spark, sf_dir, "embeddings").withColumn("draw", F.row_number().over(order) - 1).where(F.col("draw") < draws)
+    vectors = table(spark, sf_dir, "embeddings").withColumn("draw", F.row_number().over(order) - 1)
     payload = vectors.select(F.lit("axis").alias("support"), F.lit("node").alias("location"), F.lit("embedding").alias("slot"), F.col("label").cast("bigint").alias("instance"), F.col("draw").cast("int").alias("draw"), F.col("embedding").cast("array<double>").alias("values"), F.lit(None).cast("array<bigint>").alias("labels"))
     rows = vectors.select(F.col("label").cast("bigint").alias("row")).distinct()
     slots = [Slot("embedding", "node", "axis", "field", "1", statistic="draw")]

@@ -8,14 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldloom.functions import names
 from fieldloom.functions.names import path_parts
 from fieldloom.functions.numbers import finite
 from fieldloom.functions.units import units_dimensions
 from fieldloom.operators import access, geometry, joins, models, mutate, splits, statistics, trajectory
 from fieldloom.operators.integrate import integrate
-from fieldloom.plans import bind, sample_models
+from fieldloom.operators.supports import support_ids
+from fieldloom.plans import bind, rules, sample_models
 from fieldloom.plans.rules import check_offsets
-from fieldloom.sources.manifest import Key, Slot
+from fieldloom.sources.manifest import Key, Manifest, Slot, Support
+from fieldloom.sources.study import CATEGORIES, SLOT_VALUES, Study, empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -344,8 +347,7 @@ def prediction_band(spark, d):
 
 
 def _order_study(spark, rows, n):
-    from fieldloom.sources.manifest import Manifest
-    from fieldloom.sources.study import CATEGORIES, CELLS, SLOT_VALUES, Study, empty
+    from fieldloom.sources.study import CELLS
 
     manifest = Manifest(created=bind.CREATED, n_rows=n, keys=[Key("id", "id"), Key("day", "condition", units="1")], slots=[Slot("price", "row", units="1")])
     return Study(manifest, rows, empty(spark, SLOT_VALUES), empty(spark, CELLS), empty(spark, CATEGORIES))
@@ -399,23 +401,31 @@ def _rule(bad: DataFrame, rule: str, path: str, index: str) -> DataFrame:
     return bad.agg(F.count("*").alias("n_bad"), F.min(index).cast("bigint").alias("first_row")).select(F.lit(rule).alias("rule"), F.lit(path).alias("path"), "n_bad", "first_row")
 
 
+def _found(study, rule: str, check) -> DataFrame:
+    """What one pass of the validator says of one rule."""
+    rows = [(f.rule, f.path, f.count, f.first_three[0]) for f in check(study) if f.rule == rule]
+    return study.spark.createDataFrame(rows, "rule string, path string, n_bad bigint, first_row bigint")
+
+
 @query
 def rule_e05(spark, d):
     s = bind.embed_axis(spark, d)
-    payload = s.payload(s.manifest.find("embedding")).withColumn("values", F.when(F.col("instance") % 97 == 5, F.slice("values", 1, 63)).otherwise(F.col("values")))
-    return _rule(payload.where(F.size("values") != 64), "E05", "axis/node_arrays/embedding", "instance")
+    payload = s.slot_values.withColumn("values", F.when((F.col("slot") == "embedding") & (F.col("instance") % 97 == 5), F.slice("values", 1, 63)).otherwise(F.col("values")))
+    return _found(s.replace(slot_values=payload), "E05", rules.payload_findings)
 
 
 @query
 def rule_e06(spark, d):
-    rows = bind.orders_unaligned(spark, d).rows.withColumn("support_ix", F.when(F.col("row") % 1000 == 7, 2).otherwise(F.col("support_ix")))
-    return _rule(rows.where((F.col("support_ix") < 0) | (F.col("support_ix") >= 2)), "E06", "row_support", "row")
+    s = bind.orders_unaligned(spark, d)
+    rows = s.rows.withColumn("support_ix", F.when(F.col("row") % 1000 == 7, 2).otherwise(F.col("support_ix")))
+    return _found(s.replace(rows=rows), "E06", rules.row_findings)
 
 
 @query
 def rule_e09(spark, d):
-    rows = bind.events_tx(spark, d).rows.withColumn("t", F.when(F.col("row") % 100 == 99, F.col("t") - 1e9).when(F.col("row") % 100 == 50, F.lit(float("nan"))).otherwise(F.col("t")))
-    return _rule(trajectory.time_violations(rows, "t", "user"), "E09", "keys/t", "row")
+    s = bind.events_tx(spark, d)
+    rows = s.rows.withColumn("t", F.when(F.col("row") % 100 == 99, F.col("t") - 1e9).when(F.col("row") % 100 == 50, F.lit(float("nan"))).otherwise(F.col("t")))
+    return _found(s.replace(rows=rows), "E09", rules.row_findings)
 
 
 @query
@@ -436,21 +446,19 @@ def _bad_cells(spark, d):
     cells, points = bind.part_mesh(spark, d)
     kind = F.when(F.col("cell") % 50 == 9, 99).when(F.col("cell") % 50 == 10, 5).otherwise(F.col("cell_type")).cast("int")
     nodes = F.when(F.col("cell") % 50 == 11, F.transform("nodes", lambda n: n + 10_000_000)).otherwise(F.col("nodes"))
-    return cells.select("cell", kind.alias("cell_type"), nodes.alias("nodes")), points
+    made = cells.select(F.lit("mesh").alias("support"), "cell", kind.cast("smallint").alias("cell_type"), nodes.alias("nodes"))
+    manifest = Manifest(created=bind.CREATED, supports=[Support("mesh", "mesh", points.count(), cells.count())])
+    return Study(manifest, empty(spark, "row bigint"), empty(spark, SLOT_VALUES), made, empty(spark, CATEGORIES))
 
 
 @query
 def rule_e21(spark, d):
-    cells, _ = _bad_cells(spark, d)
-    return _rule(cells.where(~F.col("cell_type").isin(list(geometry.CELL_NODES))), "E21", "mesh/cell_types", "cell")
+    return _found(_bad_cells(spark, d), "E21", rules.cell_findings)
 
 
 @query
 def rule_e22(spark, d):
-    cells, _ = _bad_cells(spark, d)
-    need = F.create_map(*(F.lit(x) for code, n in geometry.CELL_NODES.items() if n for x in (code, n)))
-    wrong = F.when(F.col("cell_type") == 7, F.size("nodes") < 3).otherwise(F.size("nodes") != F.try_element_at(need, F.col("cell_type")))
-    return _rule(cells.where(wrong), "E22", "mesh/cells", "cell")
+    return _found(_bad_cells(spark, d), "E22", rules.cell_findings)
 
 
 @query
@@ -463,10 +471,7 @@ def rule_e23(spark, d):
 
 @query
 def rule_e24(spark, d):
-    cells, points = _bad_cells(spark, d)
-    n = points.agg(F.count("*").alias("n_nodes"))
-    bad = cells.join(F.broadcast(n)).where(F.exists("nodes", lambda x: (x < 0) | (x >= F.col("n_nodes"))))
-    return _rule(bad, "E24", "mesh/cells", "cell")
+    return _found(_bad_cells(spark, d), "E24", rules.cell_findings)
 
 
 @query
@@ -478,39 +483,39 @@ def rule_e34(spark, d):
 
 @query
 def rule_w01(spark, d):
-    s = bind.events_tx(spark, d)
-    leaks = s.rows.groupBy("user").agg(F.count_distinct("split").alias("n")).where("n > 1")
-    return _rule(leaks, "W01", "keys/split", "user")
+    return _found(bind.events_tx(spark, d), "W01", rules.row_findings)
 
 
 @query
 def rule_w02(spark, d):
-    s = bind.events_tx(spark, d)
-    return _rule(joins.decode_category(s.rows, "status", s.entries("status"), "entry").where("entry <> 'converged'"), "W02", "keys/status", "row")
+    return _found(bind.events_tx(spark, d), "W02", rules.row_findings)
 
 
 @query
 def rule_w03(spark, d):
-    rows = bind.events_tx(spark, d).rows.withColumn("value", F.when(F.col("row") % 333 == 12, F.lit(float("nan"))).when(F.col("row") % 333 == 13, F.lit(float("inf"))).otherwise(F.col("value")))
-    return _rule(rows.where(~finite(F.col("value"))), "W03", "scalars/value", "row")
+    s = bind.events_tx(spark, d)
+    rows = s.rows.withColumn("value", F.when(F.col("row") % 333 == 12, F.lit(float("nan"))).when(F.col("row") % 333 == 13, F.lit(float("inf"))).otherwise(F.col("value")))
+    return _found(s.replace(rows=rows), "W03", rules.row_findings)
 
 
 @query
 def rule_w03_field(spark, d):
     s = bind.embed_axis(spark, d)
-    payload = s.payload(s.manifest.find("embedding")).withColumn("values", F.when(F.col("instance") % 41 == 3, F.transform("values", lambda x: F.when(x > 0, x).otherwise(F.lit(float("nan"))))).otherwise(F.col("values")))
-    return _rule(payload.where(F.exists("values", lambda x: ~finite(x))), "W03", "axis/node_arrays/embedding", "instance")
+    payload = s.slot_values.withColumn("values", F.when((F.col("slot") == "embedding") & (F.col("instance") % 41 == 3), F.transform("values", lambda x: F.when(x > 0, x).otherwise(F.lit(float("nan"))))).otherwise(F.col("values")))
+    return _found(s.replace(slot_values=payload), "W03", rules.payload_findings)
 
 
 @query
 def rule_w04(spark, d):
-    return _rule(bind.lineitem_rows(spark, d).rows.where(joins.outside_bounds(F.col("quantity"), 5.0, 45.0)), "W04", "keys/quantity", "row")
+    s = bind.lineitem_rows(spark, d)
+    keys = [dataclasses.replace(k, lower=5.0, upper=45.0) if k.name == "quantity" else k for k in s.manifest.keys]
+    return _found(s.with_manifest(keys=keys), "W04", rules.row_findings)
 
 
 @query
 def rule_w07(spark, d):
     s = bind.customer_family(spark, d)
-    return _rule(joins.unused_categories(s.rows.where("nation % 6 <> 5"), "nation", s.entries("nation")), "W07", "keys/nation", "id")
+    return _found(s.replace(rows=s.rows.where("nation % 6 <> 5")), "W07", rules.row_findings)
 
 
 @query
@@ -528,11 +533,81 @@ def rule_w15(spark, d):
 @query
 def rule_w16(spark, d):
     s = bind.embed_axis(spark, d)
-    payload = s.payload(s.manifest.find("embedding_band")).withColumn("values", F.when(F.col("instance") % 60 == 59, F.transform("values", lambda x: -x)).otherwise(F.col("values")))
-    return _rule(payload.where(F.exists("values", lambda x: x < 0)), "W16", "axis/node_arrays/embedding_band", "instance")
+    payload = s.slot_values.withColumn("values", F.when((F.col("slot") == "embedding_band") & (F.col("instance") % 60 == 59), F.transform("values", lambda x: -x)).otherwise(F.col("values")))
+    return _found(s.replace(slot_values=payload), "W16", rules.payload_findings)
 
 
 @query
 def nonfinite_first_three(spark, d):
     rows = bind.events_tx(spark, d).rows.where("row % 271 = 31")
     return statistics.first_three(rows).select("n_bad", F.array_join(F.transform("first_three", lambda i: i.cast("string")), ",").alias("first_three"))
+
+
+# more functions over columns
+
+
+@query
+def rows_of_part(spark, d):
+    s = bind.events_tx(spark, d)
+    split = splits.grouped_split(s, {"train": 0.7, "validation": 0.1, "test": 0.2}, seed=7)
+    return splits.rows_of_part(s, split, "test").select("row")
+
+
+@query
+def legal_names(spark, d):
+    kind = F.when(F.col("p_size") % 3 == 0, F.replace("p_type", F.lit(" "), F.lit("_"))).otherwise(F.col("p_type"))
+    named = bind.table(spark, d, "part").select(F.concat(F.when(F.col("p_size") % 4 == 0, names.RESERVED).otherwise(""), kind).alias("name"))
+    return named.groupBy("name").agg(F.count("*").alias("n")).select("name", names.legal_name(F.col("name")).alias("legal"), names.reserved_name(F.col("name")).alias("reserved"), "n")
+
+
+@query
+def dimension_names(spark, d):
+    key = F.col("c_custkey")
+    logical = F.when(key % 4 == 0, F.concat(F.lit("group:"), "c_mktsegment")).when(key % 4 == 1, F.concat(F.lit("draw_"), (key % 9).cast("string"))).when(key % 4 == 2, F.concat(F.lit("component_"), (key % 5).cast("string"))).otherwise(F.col("c_mktsegment"))
+    stored = bind.table(spark, d, "customer").select(names.stored_dimension(logical).alias("stored"))
+    return stored.groupBy("stored").agg(F.count("*").alias("n")).select("stored", names.logical_dimension(F.col("stored")).alias("logical"), "n")
+
+
+@query
+def source_kinds(spark, d):
+    key = F.col("o_orderkey")
+    source = F.when(key % 4 == 0, "data").when(key % 4 == 1, F.concat(F.lit("callable:m"), (key % 7).cast("string"))).when(key % 4 == 2, "callable:").otherwise("file")
+    counted = bind.table(spark, d, "orders").select(source.alias("source")).groupBy("source").agg(F.count("*").alias("n"))
+    return counted.withColumn("p", names.source_parts(F.col("source"))).select("source", "p.kind", "p.id", "n")
+
+
+@query
+def utc_stamps(spark, d):
+    kind = F.col("event_id") % 6
+    day = F.date_format("ts", "yyyy-MM-dd")
+    text = F.when(kind == 0, F.concat(day, F.date_format("ts", "'T'HH:mm:ss'Z'"))).when(kind == 1, F.concat(day, F.lit("T00:00:00.5+00:00"))).when(kind == 2, day).when(kind == 3, F.concat(day, F.lit("T25:00Z"))).when(kind == 4, F.concat(day, F.lit("T10:00+01:00"))).otherwise(F.concat(F.substring(day, 1, 4), F.lit("-02-31T10:00Z")))
+    told = bind.table(spark, d, "events").select(kind.alias("kind"), names.utc_stamp(text).alias("utc"))
+    return told.groupBy("kind").agg(F.count_if("utc").alias("n_utc"), F.count("*").alias("n"))
+
+
+@query
+def exact_texts(spark, d):
+    return bind.table(spark, d, "lineitem").select(F.expr("l_orderkey * 8 + l_linenumber").alias("row"), names.text_17e(F.col("l_extendedprice")).alias("text"))
+
+
+@query
+def cell_measure_kinds(spark, d):
+    quads, points = bind.part_mesh(spark, d)
+    parts = bind.table(spark, d, "part").select(F.col("p_partkey").alias("node"), (F.col("p_size") * 0.01).alias("z"))
+    lifted = points.drop("z").join(parts, "node").select("node", "x", "y", "z")
+    cells = None
+    for code, corners in ((3, 2), (5, 3), (10, 4)):
+        kind = quads.select((F.col("cell") * 16 + code).alias("cell"), F.lit(code).cast("smallint").alias("cell_type"), F.slice("nodes", 1, corners).alias("nodes"))
+        cells = kind if cells is None else cells.unionByName(kind)
+    met = geometry.corner_points(cells, lifted)
+    measure = geometry.cell_measure(F.col("pts"), F.col("cell_type"))
+    return met.select(F.expr("cell DIV 16").alias("cell"), F.col("cell_type").cast("int").alias("cell_type"), F.round(measure, 9).alias("measure"))
+
+
+@query
+def support_digest(spark, d):
+    cells, points = bind.part_mesh(spark, d)
+    made = cells.select(F.lit("mesh").alias("support"), "cell", "cell_type", "nodes")
+    manifest = Manifest(created=bind.CREATED, supports=[Support("mesh", "mesh", points.count(), cells.count())])
+    s = Study(manifest, empty(spark, "row bigint"), empty(spark, SLOT_VALUES), made, empty(spark, CATEGORIES))
+    return spark.createDataFrame(list(support_ids(s).items()), "support string, digest string")

@@ -27,7 +27,7 @@ ORACLE["field_stats_by_instance"] = f"SELECT nation, {_stats('v')} FROM (SELECT
 ORACLE["draw_summaries"] = f"""
 WITH d AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS draw FROM embeddings)
 SELECT d.label::BIGINT AS label, f.site, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.9), 6) AS quantile
-FROM d JOIN {FIELD} f ON f.row = d.vec_id WHERE draw < 40 GROUP BY ALL"""
+FROM d JOIN {FIELD} f ON f.row = d.vec_id GROUP BY ALL"""
 ORACLE["bounds_observed"] = "SELECT 'discount' AS key, min(l_discount) + 0.0::DOUBLE AS lower, max(l_discount) + 0.0::DOUBLE AS upper FROM lineitem UNION ALL SELECT 'quantity', min(l_quantity) + 0.0::DOUBLE, max(l_quantity) + 0.0::DOUBLE FROM lineitem"
 _WIDTH = "SELECT 'discount' AS key, 2000.0::DOUBLE / (max(l_discount) - min(l_discount)) AS ratio FROM lineitem UNION ALL SELECT 'quantity', 60.0::DOUBLE / (max(l_quantity) - min(l_quantity)) FROM lineitem"
 ORACLE["bounds_stale"] = f"SELECT key, round(ratio, 6) AS ratio, ratio > 4 AS stale FROM ({_WIDTH})"
@@ -169,3 +169,39 @@ ORACLE["rule_w08"] = f"SELECT 'W08' AS rule, 'keys/discount' AS path, count(*) A
 ORACLE["rule_w15"] = "SELECT 'W15' AS rule, 'supports' AS path, 1::BIGINT AS n_bad, 1::BIGINT AS first_row FROM (SELECT count(*) FROM orders)"
 ORACLE["rule_w16"] = _rule("W16", "axis/node_arrays/embedding_band", "embeddings WHERE vec_id % 60 = 59", "vec_id")
 ORACLE["nonfinite_first_three"] = "SELECT count(*) AS n_bad, array_to_string(list(event_id ORDER BY event_id)[1:3], ',') AS first_three FROM events WHERE event_id % 271 = 31"
+
+ORACLE["rows_of_part"] = f"SELECT row FROM ({ORACLE['split_rows']}) WHERE part = 'test'"
+ORACLE["legal_names"] = """
+SELECT name, regexp_full_match(name, '[A-Za-z0-9_.+-]+') AND NOT starts_with(name, 'fieldloom_') AS legal, starts_with(name, 'fieldloom_') AS reserved, count(*) AS n
+FROM (SELECT CASE p_size % 4 WHEN 0 THEN 'fieldloom_' ELSE '' END || CASE p_size % 3 WHEN 0 THEN replace(p_type, ' ', '_') ELSE p_type END AS name FROM part) GROUP BY ALL"""
+ORACLE["dimension_names"] = """
+SELECT stored, CASE WHEN starts_with(stored, 'group_') AND len(stored) > 6 THEN 'group:' || stored[7:] WHEN regexp_full_match(stored, '(draw|component)_[0-9]+') THEN regexp_extract(stored, '^[a-z]+') ELSE stored END AS logical, count(*) AS n
+FROM (SELECT CASE c_custkey % 4 WHEN 0 THEN 'group_' || c_mktsegment WHEN 1 THEN 'draw_' || (c_custkey % 9)::VARCHAR WHEN 2 THEN 'component_' || (c_custkey % 5)::VARCHAR ELSE c_mktsegment END AS stored FROM customer) GROUP BY ALL"""
+ORACLE["source_kinds"] = """
+SELECT source, CASE WHEN source = 'data' THEN 'data' WHEN starts_with(source, 'callable:') AND len(source) > 9 THEN 'callable' END AS kind, CASE WHEN starts_with(source, 'callable:') AND len(source) > 9 THEN source[10:] END AS id, count(*) AS n
+FROM (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'data' WHEN 1 THEN 'callable:m' || (o_orderkey % 7)::VARCHAR WHEN 2 THEN 'callable:' ELSE 'file' END AS source FROM orders) GROUP BY ALL"""
+ORACLE["utc_stamps"] = """
+SELECT kind, count(*) FILTER (WHERE kind IN (0, 1)) AS n_utc, count(*) AS n FROM (SELECT event_id % 6 AS kind FROM events) GROUP BY kind"""
+ORACLE["exact_texts"] = "SELECT l_orderkey * 8 + l_linenumber AS row, printf('%.17e', l_extendedprice::DOUBLE) AS text FROM lineitem"
+_LIFTED = "pts AS (SELECT p_partkey AS node, p_partkey % 20 + p_size * 0.001::DOUBLE AS x, (p_partkey // 20)::DOUBLE AS y, p_size * 0.01::DOUBLE AS z FROM part)"
+_SIDES = ", ".join(f"{q}.{c} - a.{c} AS {n}{c}" for q, n in (("b", "u"), ("c", "v"), ("d", "w")) for c in "xyz")
+ORACLE["cell_measure_kinds"] = f"""
+WITH {_LIFTED}, {_CELLS},
+e AS (SELECT cell, {_SIDES} FROM cells JOIN pts a ON a.node = nodes[1] JOIN pts b ON b.node = nodes[2] JOIN pts c ON c.node = nodes[3] JOIN pts d ON d.node = nodes[4]),
+x AS (SELECT *, uy * vz - uz * vy AS nx, uz * vx - ux * vz AS ny, ux * vy - uy * vx AS nz FROM e)
+SELECT cell, 3 AS cell_type, round(sqrt(ux * ux + uy * uy + uz * uz), 9) AS measure FROM x
+UNION ALL SELECT cell, 5, round(sqrt(nx * nx + ny * ny + nz * nz) / 2, 9) FROM x
+UNION ALL SELECT cell, 10, round(abs(nx * wx + ny * wy + nz * wz) / 6, 9) FROM x"""
+
+
+def _le(x: str, n: int) -> str:
+    """Hexadecimal digits of a whole number's ``n`` bytes, the last one first."""
+    return " || ".join(f"printf('%02x', ({x}) // {1 << 8 * k} % 256)" for k in range(n))
+
+
+ORACLE["support_digest"] = f"""
+WITH {_CELLS},
+o AS (SELECT string_agg('09', '' ORDER BY cell) AS codes, '{"00" * 8}' || string_agg({_le("4 * place", 8)}, '' ORDER BY cell) AS offsets FROM (SELECT cell, row_number() OVER (ORDER BY cell) AS place FROM cells)),
+c AS (SELECT string_agg({_le("node", 8)}, '' ORDER BY cell, corner) AS corners FROM (SELECT cell, unnest(nodes) AS node, unnest(range(1, 5)) AS corner FROM cells)),
+n AS (SELECT {_le("n", 8)} AS nodes FROM (SELECT count(*) AS n FROM part))
+SELECT 'mesh' AS support, sha256(unhex(nodes || codes || offsets || corners)) AS digest FROM n, o, c"""

@@ -121,13 +121,42 @@ def _file_system(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
 
+def _pointers(spark: SparkSession, path: str) -> dict[int, str]:
+    """Published versions by number: each is the name of an empty file in ``published``."""
+    system, folder = _file_system(spark, f"{path}/published")
+    if not system.exists(folder):
+        return {}
+    names = (p.getPath().getName() for p in system.listStatus(folder))
+    return {int(n): v for n, _, v in (x.partition("-") for x in names) if n.isdigit()}
+
+
+def current_version(spark: SparkSession, path: str) -> str:
+    """The folder of the version published last."""
+    found = _pointers(spark, path)
+    if not found:
+        raise StudyError("E41", f"no study at {path}")
+    return found[max(found)]
+
+
+def _publish(spark: SparkSession, path: str, version: str) -> None:
+    """Make ``version`` the current one, by one new name: readers see the one before or this one, never none."""
+    found = _pointers(spark, path)
+    number = max(found, default=0) + 1
+    system, pointer = _file_system(spark, f"{path}/published/{number:012d}-{version}")
+    if not system.createNewFile(pointer):
+        raise OSError(f"could not publish {path}")
+    if sum(n == number for n in map(int, (p.getPath().getName().partition("-")[0] for p in system.listStatus(pointer.getParent())))) > 1:
+        system.delete(pointer, True)
+        raise OSError(f"{path} was published by another writer meanwhile")
+
+
 def open_study(spark: SparkSession, path: str, strict: bool = True) -> Study:
     """Read the manifest; the tables stay lazy.
 
     ``strict`` refuses a manifest with structural errors; semantic ones never
     refuse.
     """
-    version = spark.read.text(f"{path}/CURRENT").first().value
+    version = current_version(spark, path)
     text = "\n".join(r.value for r in spark.read.text(f"{path}/{version}/manifest.json").collect())
     manifest = Manifest.from_json(text)
     base = f"{path}/{version}"
@@ -143,9 +172,9 @@ def open_study(spark: SparkSession, path: str, strict: bool = True) -> Study:
 
 
 def write_study(study: Study, path: str, check: bool = True, codec: str = "zstd") -> None:
-    """Validate, write beside the target, then switch the pointer to it.
+    """Validate, write beside the earlier versions, then publish the new one by one name.
 
-    A failure leaves the earlier version as it was.
+    A failure at any step leaves the earlier version as it was.
     """
     if check:
         from fieldloom.plans.rules import validate
@@ -161,12 +190,7 @@ def write_study(study: Study, path: str, check: bool = True, codec: str = "zstd"
     study.categories.coalesce(1).write.option("compression", codec).parquet(f"{base}/categories")
     spark = study.spark
     spark.createDataFrame([(study.manifest.to_json().rstrip("\n"),)], "value string").coalesce(1).write.text(f"{base}/manifest.json")
-    staged = f"{path}/_pointer-{uuid.uuid4().hex}"
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.text(staged)
-    system, target = _file_system(spark, f"{path}/CURRENT")
-    system.delete(target, True)
-    if not system.rename(_file_system(spark, staged)[1], target):
-        raise OSError(f"could not publish {path}")
+    _publish(spark, path, version)
 
 
 class StudyBuilder:

@@ -2,7 +2,8 @@
 
 Each micro-batch is appended with ``append_rows`` and published as a new
 version, so a failed batch leaves the study as it was.  The growth of time along
-a trajectory is checked across batches by joining each trajectory's last time.
+a trajectory is checked within a batch, and across batches by joining each
+trajectory's last time.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from fieldloom.sources.study import Study, StudyError, open_study, write_study
 
 
 def falls_back(own: Study, batch: DataFrame) -> DataFrame:
-    """Rows of the batch whose time isn't after their trajectory's last stored one."""
+    """Rows of the batch whose time isn't after the one before: in the batch, or stored last."""
     key = time_key(own)
+    order = Window.partitionBy(key.trajectory_group).orderBy("row")
     last = own.rows.groupBy(F.col(key.trajectory_group).alias("__group")).agg(F.max_by(key.name, "row").alias("__last"))
-    step = F.col(key.name) - F.col("__last")
-    first = Window.partitionBy(key.trajectory_group).orderBy("row")
-    met = batch.withColumn("__nth", F.row_number().over(first)).join(last, F.col(key.trajectory_group) == F.col("__group"))
-    return met.where((F.col("__nth") == 1) & (F.isnan(step) | (step <= 0))).select("row")
+    met = batch.withColumn("__back", F.lag(key.name).over(order)).withColumn("__nth", F.row_number().over(order)).join(last, F.col(key.trajectory_group).eqNullSafe(F.col("__group")), "left")
+    before = F.when(F.col("__nth") == 1, F.col("__last")).otherwise(F.col("__back"))
+    step = F.col(key.name) - before
+    first = (F.col("__nth") == 1) & F.col("__group").isNull()  # a trajectory's first row of all
+    return met.where(~first & F.coalesce(F.isnan(step) | (step <= 0), F.lit(True))).select("row")
 
 
 def append_batch(path: str, to_study: Callable[[DataFrame], Study], replace_by: str | None = None) -> Callable[[DataFrame, int], None]:

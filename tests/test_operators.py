@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldloom.operators import access, geometry, joins, models, mutate, splits, statistics, supports, trajectory
 from fieldloom.operators.integrate import integrate
 from fieldloom.sources.manifest import Slot
+from fieldloom.sources import study as study_module
 from fieldloom.sources.study import StudyBuilder, StudyError, open_study, write_study
 
 
@@ -259,3 +260,22 @@ def test_interval_of_stored_band(spark):
     s = s.replace(rows=s.rows.withColumn("cl_band", F.lit(0.5)), manifest=dataclasses.replace(s.manifest, slots=[*s.manifest.slots, band]))
     got = models.interval(models.prediction(s, s.manifest.find("cl"))).orderBy("row").first()
     assert (got["mean"], got["lower"], got["upper"]) == (0.25, -0.25, 0.75)
+
+
+def test_a_failed_write_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "study")
+    s = mesh_two_rows(spark)
+    with pytest.raises(StudyError):
+        open_study(spark, path)
+    write_study(s.with_manifest(notes={"n": "1"}), path)
+
+    def fail(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(study_module, "_publish", fail)
+        with pytest.raises(OSError):
+            write_study(s.with_manifest(notes={"n": "2"}), path)
+    assert open_study(spark, path).manifest.notes["n"] == "1"
+    write_study(s.with_manifest(notes={"n": "3"}), path)
+    assert open_study(spark, path).manifest.notes["n"] == "3"

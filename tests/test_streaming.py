@@ -1,6 +1,7 @@
+import pytest
 from fixtures import transient
 
-from fieldloom.sources.study import StudyBuilder, open_study, write_study
+from fieldloom.sources.study import StudyBuilder, StudyError, open_study, write_study
 from fieldloom.streaming.append import append_batch, falls_back, start_append
 
 
@@ -35,3 +36,17 @@ def test_time_across_batches(spark):
     study = transient(spark)
     late = spark.createDataFrame([(0, 0, 0.3), (1, 1, 0.3)], "row bigint, run int, t double")
     assert [r.row for r in falls_back(study, late).collect()] == [0]
+
+
+def test_time_inside_a_batch(spark, tmp_path):
+    path = str(tmp_path / "study")
+    write_study(make(spark, [(0, 0.0, 1.0), (1, 0.0, 2.0)]), path)
+    batch = spark.createDataFrame([(0, 0, 5.0, 1.0), (1, 0, 3.0, 1.0), (2, 1, 1.0, 1.0), (3, 7, 4.0, 1.0), (4, 7, 4.0, 1.0)], "row bigint, run int, t double, v double")
+    assert sorted(r.row for r in falls_back(open_study(spark, path), batch).collect()) == [1, 4]
+
+    def to_study(frame):
+        return make(spark, [(r.run, r.t, r.v) for r in frame.orderBy("row").collect()])
+
+    with pytest.raises(StudyError, match="E09"):
+        append_batch(path, to_study)(batch.where("run = 0"), 0)
+    assert open_study(spark, path).row_count() == 2
