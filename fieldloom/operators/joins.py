@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.names import varies_group
+from fieldloom.operators.ordering import numbered
 from fieldloom.sources.manifest import CONVERGED, Slot
 from fieldloom.sources.study import Study, StudyError
 
@@ -62,8 +63,7 @@ def rows_on(study: Study, support: str) -> DataFrame:
         return study.rows.withColumn("ordinal", F.col("row"))
     ix = study.manifest.support_order().index(support)
     here = study.rows.where(F.col("support_ix") == ix)
-    # the ordinal counts all rows of one support, which is one ordered partition
-    return here.withColumn("ordinal", (F.row_number().over(Window.partitionBy("support_ix").orderBy("row")) - 1).cast("bigint"))
+    return numbered(here, ["row"], "ordinal")
 
 
 def rows_with_instance(study: Study, slot: Slot) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.operators.joins import map_categories
+from fieldloom.operators.ordering import running_sum
 from fieldloom.sources.manifest import TABLE_ROLES
 from fieldloom.sources.study import Study, StudyError
 
@@ -66,8 +67,8 @@ def append_rows(own: Study, batch: Study, replace_by: str | None = None) -> Stud
             raise StudyError("E16", f"the batch holds {replace_by} {twice[0][0]!r} twice")
         known = own.rows.select(F.col(replace_by).alias("__id"), F.col("row").alias("__at"))
         met = batch.rows.select("row", replace_by).join(known, F.col(replace_by) == F.col("__id"), "left")
-        fresh = F.row_number().over(Window.partitionBy(F.col("__at").isNull()).orderBy("row")) - 1 + n
-        place = met.select(F.col("row").alias("__old"), F.coalesce("__at", fresh).cast("bigint").alias("__new"))
+        counted = running_sum(met, ["row"], F.col("__at").isNull().cast("int"), "__nth")
+        place = counted.select(F.col("row").alias("__old"), F.coalesce("__at", F.col("__nth") - 1 + n).cast("bigint").alias("__new"))
         added = place.where(F.col("__new") >= n).count()
     moved = batch.rows.join(place, F.col("row") == F.col("__old")).withColumn("row", F.col("__new")).drop("__old", "__new")
     gone = place.where(F.col("__new") < n).select("__new")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.hashing import draw_hex
 from fieldloom.functions.names import byte_order
 from fieldloom.operators.joins import decode_category
+from fieldloom.operators.ordering import numbered
 from fieldloom.operators.statistics import distinct_units
 from fieldloom.sources.study import Study, StudyError
 
@@ -40,8 +41,8 @@ def deal_units(units: DataFrame, fractions: dict[str, float], seed: int, n_units
     name order.
     """
     sizes = part_sizes(units.count() if n_units is None else n_units, fractions)
-    order = Window.orderBy("draw", "unit", "unit_id")
-    dealt = units.withColumn("draw", draw_hex(F.col("place"), seed)).withColumn("turn", F.row_number().over(order) - 1)
+    drawn = units.withColumn("draw", draw_hex(F.col("place"), seed))
+    dealt = numbered(drawn, ["draw", "unit", "unit_id"], "turn", F.substring("draw", 1, 4))
     part, upto = F.lit(None).cast("string"), sum(sizes.values())
     for name in reversed(byte_order(sizes)):
         part = F.when(F.col("turn") < upto, F.lit(name)).otherwise(part)

@@ -5,12 +5,13 @@ The mean of nothing is NaN and its count 0; std is the population's.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.names import text_g6
 from fieldloom.functions.numbers import describe, finite, or_nan
 from fieldloom.operators.joins import decode_category, gather
+from fieldloom.operators.ordering import in_ranges, numbered
 from fieldloom.sources.manifest import UNIT_ROLES, Slot
 from fieldloom.sources.study import Study, StudyError
 
@@ -155,7 +156,8 @@ def distinct_units(study: Study) -> DataFrame:
         raise StudyError("E18", "the study names no unit of generalisation")
     ids = study.rows.select(F.col(group).alias("unit_id")).distinct()
     named = decode_category(ids, "unit_id", study.entries(study.manifest.key(group).category), "unit")
-    return named.select("unit_id", "unit", (F.row_number().over(Window.orderBy("unit", "unit_id")) - 1).cast("bigint").alias("place"))
+    ranges = in_ranges(named.select("unit_id", "unit"), ["unit", "unit_id"], "__range")
+    return numbered(ranges, ["unit", "unit_id"], "place", F.col("__range")).drop("__range")
 
 
 def as_text(rows: list, columns: list[str]) -> str:

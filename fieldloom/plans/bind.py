@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions.numbers import seconds
 from fieldloom.operators.joins import category_table
+from fieldloom.operators.ordering import numbered
 from fieldloom.sources.manifest import Key, Manifest, Slot, Support
 from fieldloom.sources.study import CATEGORIES, CELLS, SLOT_VALUES, Study, empty
 
@@ -76,8 +77,7 @@ def embed_axis(spark: SparkSession, sf_dir: str) -> Study:
 
 def embed_draws(spark: SparkSession, sf_dir: str) -> Study:
     """A row per label; all its vectors are draws of one field."""
-    order = Window.partitionBy("label").orderBy("vec_id")
-    vectors = table(spark, sf_dir, "embeddings").withColumn("draw", F.row_number().over(order) - 1)
+    vectors = numbered(table(spark, sf_dir, "embeddings"), ["vec_id"], "draw", within=("label",))
     payload = vectors.select(F.lit("axis").alias("support"), F.lit("node").alias("location"), F.lit("embedding").alias("slot"), F.col("label").cast("bigint").alias("instance"), F.col("draw").cast("int").alias("draw"), F.col("embedding").cast("array<double>").alias("values"), F.lit(None).cast("array<bigint>").alias("labels"))
     rows = vectors.select(F.col("label").cast("bigint").alias("row")).distinct()
     slots = [Slot("embedding", "node", "axis", "field", "1", statistic="draw")]
@@ -138,8 +138,8 @@ def orders_unaligned(spark: SparkSession, sf_dir: str) -> Study:
     """Orders on two axes, of 7 and of 4 nodes, by the parity of their key."""
     orders = table(spark, sf_dir, "orders")
     rows = orders.select(F.col("o_orderkey").alias("row"), (F.col("o_orderkey") % 2).cast("int").alias("support_ix"))
-    here = Window.partitionBy("support_ix").orderBy("row")
-    placed = orders.select(F.col("o_orderkey").alias("row"), (F.col("o_orderkey") % 2).cast("int").alias("support_ix"), "o_totalprice").withColumn("instance", (F.row_number().over(here) - 1).cast("bigint"))
+    placed = orders.select(F.col("o_orderkey").alias("row"), (F.col("o_orderkey") % 2).cast("int").alias("support_ix"), "o_totalprice")
+    placed = numbered(placed, ["row"], "instance", within=("support_ix",))
     size = F.when(F.col("support_ix") == 0, 7).otherwise(4)
     payload = placed.select(F.when(F.col("support_ix") == 0, "long").otherwise("short").alias("support"), F.lit("node").alias("location"), F.lit("load").alias("slot"), "instance", F.lit(None).cast("int").alias("draw"), F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.col("o_totalprice") + i).alias("values"), F.lit(None).cast("array<bigint>").alias("labels"))
     manifest = Manifest(created=CREATED, aligned=False, slots=[Slot("load", "node", s, "field", "1") for s in ("long", "short")], supports=[Support("long", "axis", 7), Support("short", "axis", 4)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import dataclasses
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import names
@@ -14,6 +14,7 @@ from fieldloom.functions.numbers import finite
 from fieldloom.functions.units import units_dimensions
 from fieldloom.operators import access, geometry, joins, models, mutate, splits, statistics, trajectory
 from fieldloom.operators.integrate import integrate
+from fieldloom.operators.ordering import running_sum
 from fieldloom.operators.supports import support_ids
 from fieldloom.plans import bind, rules, sample_models
 from fieldloom.plans.rules import check_offsets
@@ -139,8 +140,7 @@ def integrate_mesh(spark, d):
 @query
 def offsets_running(spark, d):
     cells, _ = bind.part_mesh(spark, d)
-    order = Window.orderBy("cell")  # offsets are one running sum over all cells
-    return cells.select("cell", F.sum(F.size("nodes")).over(order).cast("bigint").alias("offset"))
+    return running_sum(cells, ["cell"], F.size("nodes"), "offset").select("cell", "offset")
 
 
 @query

@@ -21,6 +21,7 @@ from fieldloom.functions.names import RESERVED, byte_order, is_legal, varies_gro
 from fieldloom.functions.numbers import finite
 from fieldloom.operators.geometry import CELL_NODES
 from fieldloom.operators.joins import decode_category, outside_bounds, unknown_categories, unused_categories
+from fieldloom.operators.ordering import BLOCK
 from fieldloom.operators.statistics import bound_widths
 from fieldloom.operators.trajectory import time_violations
 from fieldloom.sources.manifest import ARRAY_ROLES, CONVERGED, FORMAT, KEY_ROLES, STATISTICS, SUPPORT_KINDS, TABLE_ROLES, UNIT_ROLES, Manifest
@@ -360,9 +361,16 @@ def check_offsets(offsets: DataFrame, length: int) -> DataFrame:
     """Rows of raw offsets (at, offset) that break E23: not from 0, falling, or a wrong end."""
     from pyspark.sql import Window
 
-    order = Window.orderBy("at")
-    last = F.lead("offset").over(order).isNull()
-    return offsets.withColumn("__back", F.lag("offset").over(order)).withColumn("__last", last).where((F.col("__back").isNull() & (F.col("offset") != 0)) | (F.col("offset") < F.col("__back")) | (F.col("__last") & (F.col("offset") != length))).select("at", "offset")
+    # neighbours inside blocks of the order; across a border, the block before gives its last offset
+    held = offsets.withColumn("__block", F.floor(F.col("at") / BLOCK))
+    ends = held.groupBy("__block").agg(F.max_by("offset", "at").alias("__tail"), F.max("at").alias("__end"))
+    order = Window.orderBy("__block")
+    edges = ends.select(F.col("__block").alias("__of"), F.lag("__tail").over(order).alias("__before"), F.when(F.lead("__block").over(order).isNull(), F.col("__end")).alias("__final"))
+    inside = Window.partitionBy("__block").orderBy("at")
+    met = held.withColumn("__back", F.lag("offset").over(inside)).join(edges, F.col("__block") == F.col("__of"))
+    back = F.coalesce("__back", "__before")
+    wrong = (back.isNull() & (F.col("offset") != 0)) | (F.col("offset") < back) | ((F.col("at") == F.col("__final")) & (F.col("offset") != length))
+    return met.where(wrong).select("at", "offset")
 
 
 def findings(study: Study) -> list[Finding]:
