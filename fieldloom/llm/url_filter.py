@@ -2,8 +2,9 @@
 
 A url is matched against the vocabulary in one Aho-Corasick pass over its
 lower-cased host and path.  A hit counts only between boundaries (no letter or
-digit on either side).  One strict term rejects, and so do ``min_soft`` distinct
-soft terms.
+digit on either side).  A url is rejected when the weights of its distinct terms
+reach ``limit``: a strict term weighs as much as the limit, a soft one less, so
+that one strict term rejects, and so do several distinct soft ones.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path,
 fits no rule, has no hits and is allowed; an empty host fits no rule; repeated
@@ -12,6 +13,8 @@ rows are judged alike; an empty table gives none; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,10 @@ RULES = (
 STRICT_TERMS = ("camgirls", "casino", "cialis", "escorts", "hentai", "malware", "phishing", "porn", "porno", "viagra", "warez", "xxx")
 SOFT_TERMS = ("ads", "adult", "affiliate", "banner", "bet", "betting", "cheap", "click", "crack", "dating", "free", "keygen", "loans", "nude", "payday", "pills", "poker", "popup", "promo", "replica", "torrent", "track", "tracker", "webcam", "x")
 
+# The weight of a rejection, and of a soft term.
+LIMIT, SOFT_WEIGHT = 2, 1
+VOCABULARY = tuple((term, "strict", LIMIT) for term in STRICT_TERMS) + tuple((term, "soft", SOFT_WEIGHT) for term in SOFT_TERMS)
+
 _ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,38 +59,46 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return named, verdict
 
 
-def vocabulary_hits(strict: tuple[str, ...] = STRICT_TERMS, soft: tuple[str, ...] = SOFT_TERMS):
-    """A vectorised function: text to (distinct strict terms, distinct soft terms)."""
+def vocabulary_hits(vocabulary: tuple[tuple[str, str, int], ...] = VOCABULARY):
+    """A vectorised function: text to distinct strict terms, distinct soft terms and their weight.
+
+    ``vocabulary`` holds (term, "strict" or "soft", weight); terms are in lower case.
+    """
+    kinds = {kind for _, kind, _ in vocabulary}
+    if not kinds <= {"strict", "soft"} or len({term for term, _, _ in vocabulary}) < len(vocabulary) or any(not term for term, _, _ in vocabulary):
+        raise ValueError("the vocabulary needs distinct terms, each strict or soft")
 
-    @F.pandas_udf("strict_hits long, soft_hits long")
-    def hits(texts: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("strict_hits long, soft_hits long, weight long")
+    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
-        for kind, terms in enumerate((strict, soft)):
-            for term in terms:
-                automaton.add_word(term, (kind, term))
-        automaton.make_automaton()
-        out = []
-        for text in texts:
-            found: tuple[set, set] = (set(), set())
-            for last, (kind, term) in automaton.iter(text):
-                first = last - len(term)
-                if (first < 0 or text[first] not in _ALNUM) and (last + 1 == len(text) or text[last + 1] not in _ALNUM):
-                    found[kind].add(term)
-            out.append((len(found[0]), len(found[1])))
-        return pd.DataFrame(out, columns=["strict_hits", "soft_hits"])
+        for term, kind, weight in vocabulary:
+            automaton.add_word(term, (term, kind, weight))
+        if vocabulary:
+            automaton.make_automaton()
+        for texts in batches:
+            out = []
+            for text in texts:
+                found = set()
+                for last, entry in automaton.iter(text) if vocabulary else ():
+                    first = last - len(entry[0])
+                    if (first < 0 or text[first] not in _ALNUM) and (last + 1 == len(text) or text[last + 1] not in _ALNUM):
+                        found.add(entry)
+                strict = sum(kind == "strict" for _, kind, _ in found)
+                out.append((strict, len(found) - strict, sum(weight for _, _, weight in found)))
+            yield pd.DataFrame(out, columns=["strict_hits", "soft_hits", "weight"])
 
     return hits
 
 
-def judge_urls(pages: DataFrame, id_column: str = "page_id", rules=RULES, strict: tuple[str, ...] = STRICT_TERMS, soft: tuple[str, ...] = SOFT_TERMS, min_soft: int = 2) -> DataFrame:
+def judge_urls(pages: DataFrame, id_column: str = "page_id", rules=RULES, vocabulary: tuple[tuple[str, str, int], ...] = VOCABULARY, limit: int = LIMIT) -> DataFrame:
     """Returns the id, host, path, rule, verdict, strict_hits and soft_hits."""
     host, path = host_and_path(F.col("url"))
     split = pages.select(F.col(id_column), host.alias("host"), path.alias("path"))
-    hits = split.withColumn("__hits", vocabulary_hits(strict, soft)(F.concat(F.col("host"), lower_ascii(F.col("path")))))
+    hits = split.withColumn("__hits", vocabulary_hits(vocabulary)(F.concat(F.col("host"), lower_ascii(F.col("path")))))
     rule, by_rule = rule_columns(F.col("host"), F.col("path"), rules)
-    by_terms = F.when((F.col("__hits.strict_hits") >= 1) | (F.col("__hits.soft_hits") >= min_soft), "block").otherwise("allow")
+    by_terms = F.when(F.col("__hits.weight") >= limit, "block").otherwise("allow")
     return hits.select(id_column, "host", "path", rule.alias("rule"), F.coalesce(by_rule, by_terms).alias("verdict"), "__hits.strict_hits", "__hits.soft_hits")
 
 

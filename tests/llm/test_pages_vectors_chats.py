@@ -140,6 +140,18 @@ def test_urls(spark):
     assert (got[99].host, got[99].verdict) == ("", "allow") and url_filter.judge_urls(frame.limit(0)).count() == 0
 
 
+def test_url_weights_repeats_and_refusals(spark):
+    terms = (("gold", "strict", 5), ("red", "soft", 2), ("blue", "soft", 3), ("grey", "soft", 1))
+    urls = {"http://a.de/gold": "block", "http://red.de/red-red": "allow", "http://red.de/blue": "block", "http://red.de/grey": "allow", "http://red.de/grey/blue": "block", "http://blue.de/bluegold": "allow"}
+    rows = [(i, u) for i, u in enumerate(urls)] * 3
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string"), vocabulary=terms, limit=5).collect()
+    assert sorted((r.page_id, r.verdict) for r in got) == sorted((i, v) for i, v in enumerate(urls.values()) for _ in range(3))
+    assert url_filter.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string"), vocabulary=()).where("verdict = 'block'").count() == 0
+    for wrong in ((("a", "hard", 1),), (("a", "soft", 1), ("a", "strict", 2)), (("", "soft", 1),)):
+        with pytest.raises(ValueError):
+            url_filter.vocabulary_hits(wrong)
+
+
 # 9. vectors
 
 
