@@ -1,5 +1,5 @@
 import pytest
-from fixtures import affine, mesh_two_rows
+from fixtures import affine, two_plates
 
 from fieldloom import cli
 from fieldloom.operators.wide import wide_table
@@ -10,17 +10,17 @@ from fieldloom.sources.study import StudyError, write_study
 @pytest.fixture(scope="module")
 def stored(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("cli") / "study")
-    write_study(mesh_two_rows(spark), path)
+    write_study(two_plates(spark), path)
     return path
 
 
 def test_verbs(spark, stored):
     assert cli.run(spark, ["validate", stored]) == ("0 error(s), 0 warning(s)", 0)
-    assert "key mach condition [1]" in cli.run(spark, ["info", stored])[0]
+    assert "key throttle condition [1]" in cli.run(spark, ["info", stored])[0]
     assert cli.run(spark, ["support-id", stored])[0].startswith("s0 96df395d")
-    assert "204" in cli.run(spark, ["probe", stored, "pressure", "--at", "row=1", "node=3", "component=0"])[0]
-    assert len(cli.run(spark, ["rows", stored, "pressure", "0", "1"])[0].splitlines()) == 7
-    assert "103.5" in cli.run(spark, ["stats", stored, "pressure"])[0]
+    assert "63.25" in cli.run(spark, ["probe", stored, "stress", "--at", "row=1", "node=3", "component=0"])[0]
+    assert len(cli.run(spark, ["rows", stored, "stress", "0", "1"])[0].splitlines()) == 7
+    assert "12.25" in cli.run(spark, ["stats", stored, "stress"])[0]
 
 
 def test_evaluate_reads_csv(spark, tmp_path):
@@ -31,10 +31,10 @@ def test_evaluate_reads_csv(spark, tmp_path):
 
 
 def test_wide_table_and_limits(spark):
-    study = mesh_two_rows(spark)
+    study = two_plates(spark)
     wide = wide_table(study)
-    assert wide.columns == ["row", "mach", "member", "cl", *(f"pressure_{i}" for i in range(6))]
-    assert wide.where("row = 1").first().pressure_3 == 204.0
-    assert limits.elements(study.payload(study.manifest.find("pressure")).select("values")) == 12
+    assert wide.columns == ["row", "throttle", "plate", "gain", *(f"stress_{i}" for i in range(6))]
+    assert wide.where("row = 1").first().stress_3 == 63.25
+    assert limits.elements(study.payload(study.manifest.find("stress")).select("values")) == 12
     with pytest.raises(StudyError):
-        limits.collect_within(study.payload(study.manifest.find("pressure")), 5)
+        limits.collect_within(study.payload(study.manifest.find("stress")), 5)

@@ -2,7 +2,7 @@ import dataclasses
 import math
 
 import pytest
-from fixtures import MESH6_ID, affine, draws, mesh_two_rows, rotors, transient, two_supports
+from fixtures import MESH6_ID, affine, draws, rotors, two_plates, two_runs, two_supports
 from pyspark.sql import functions as F
 
 from fieldloom.operators import access, geometry, joins, models, mutate, splits, statistics, supports, trajectory
@@ -17,31 +17,32 @@ def rows(frame, *order):
 
 
 def test_probe_and_range(spark):
-    s = mesh_two_rows(spark)
-    assert access.at(s, s.manifest.find("pressure"), row=1, node=3, component=0).first().value == 204.0
-    assert access.at(s, s.manifest.find("coordinates"), instance=1, node=2, component=0).first().value == 3.0
-    assert [r.value for r in s.long(s.manifest.find("pressure"), 1, 2).orderBy("site").collect()] == [201.0, 202, 203, 204, 205, 206]
+    s = two_plates(spark)
+    assert access.at(s, s.manifest.find("stress"), row=1, node=3, component=0).first().value == 63.25
+    assert access.at(s, s.manifest.find("coordinates"), instance=1, node=4, component=0).first().value == 5.0
+    assert [r.value for r in s.long(s.manifest.find("stress"), 1, 2).orderBy("site").collect()] == [57.25, 59.25, 61.25, 63.25, 65.25, 67.25]
     assert s.manifest.support("s0").support_id == MESH6_ID == supports.digest_of(s, "s0")
     with pytest.raises(KeyError):
         s.manifest.find("nothing")
 
 
 def test_transpose_and_permute(spark):
-    s = mesh_two_rows(spark)
+    s = two_plates(spark)
     slot = s.manifest.find("s0/coordinates")
     got = access.transpose(s, slot, "component", "node", "instance").collect()
-    assert [r.value for r in got[:4]] == [0.0, 0.0, 1.0, 1.5]
-    assert access.permute(s, s.manifest.find("s0/region"), "draw", "cell").count() == 2
+    assert [r.value for r in got[6:10]] == [0.0, 3.0, 2.0, 5.0]
+    assert access.permute(s, s.manifest.find("s0/zone"), "draw", "cell").count() == 2
     with pytest.raises(StudyError):
         access.permute(s, slot, "node", "component")
 
 
 def test_statistics_by_label(spark):
-    s = transient(spark)
-    got = rows(statistics.field_statistics(s, s.manifest.find("u"), by="region").where("row = 0").select("region", "count", "min", "max", "mean", "std"), "region")
-    assert got == [("mid", 2, 302.0, 303.0, 302.5, 0.5), ("nose", 2, 300.0, 301.0, 300.5, 0.5), ("tail", 2, 304.0, 305.0, 304.5, 0.5)]
-    plain = statistics.field_statistics(s, s.manifest.find("u")).orderBy("row").first()
-    assert (plain["count"], plain["mean"]) == (6, 302.5) and abs(plain["std"] - 1.707825127659933) < 1e-12
+    s = two_runs(spark)
+    got = rows(statistics.field_statistics(s, s.manifest.find("heat"), by="side").where("row = 0").select("side", "count", "min", "max", "mean", "std"), "side")
+    assert [r[:5] for r in got] == [("lower", 3, 0.0, 4.0, 2.0), ("upper", 3, 6.0, 10.0, 8.0)]
+    assert all(abs(r[5] - math.sqrt(8 / 3)) < 1e-12 for r in got)
+    plain = statistics.field_statistics(s, s.manifest.find("heat")).orderBy("row").first()
+    assert (plain["count"], plain["mean"]) == (6, 5.0) and abs(plain["std"] - math.sqrt(35 / 3)) < 1e-12
 
 
 def test_missing_values(spark):
@@ -59,22 +60,22 @@ def test_missing_values(spark):
 
 def test_draw_summaries(spark):
     s = draws(spark)
-    got = {(r.instance, r.site): r for r in statistics.draw_summaries(s, s.manifest.find("pressure"), 0.9).collect()}
-    assert got[1, 3]["mean"] == 223.0 and abs(got[0, 0]["std"] - 8.16496580927726) < 1e-12 and abs(got[0, 2]["quantile"] - 130.0) < 1e-9
+    got = {(r.instance, r.site): r for r in statistics.draw_summaries(s, s.manifest.find("stress"), 0.9).collect()}
+    assert got[1, 3]["mean"] == 16.5 and abs(got[0, 0]["std"] - 3.5) < 1e-12 and abs(got[0, 2]["quantile"] - 9.5) < 1e-9
     with pytest.raises(StudyError):
-        statistics.field_statistics(s, s.manifest.find("pressure"))
+        statistics.field_statistics(s, s.manifest.find("stress"))
 
 
 def test_integrals(spark):
-    s = transient(spark)
-    u = s.manifest.find("u")
-    assert [r.integral for r in integrate(s, u).orderBy("row").collect()] == [907.5, 937.5, 967.5, 997.5, 1027.5]
-    assert [r.integral for r in integrate(s, u, by="region", region="nose").orderBy("row").collect()] == [300.5, 310.5, 320.5, 330.5, 340.5]
+    s = two_runs(spark)
+    heat = s.manifest.find("heat")
+    assert [r.integral for r in integrate(s, heat).orderBy("row").collect()] == [7.5, 13.5, 19.5, 25.5, 31.5, 37.5]
+    assert [r.integral for r in integrate(s, heat, by="side", region="lower").orderBy("row").collect()] == [1.5, 4.5, 7.5, 10.5, 13.5, 16.5]
 
 
 def test_weights(spark):
-    s = transient(spark)
-    assert [r.weight for r in geometry.computed_weights(s, "s0").orderBy("site").collect()] == [0.25, 0.5, 0.25, 0.25, 0.5, 0.25]
+    s = two_runs(spark)
+    assert [r.weight for r in geometry.computed_weights(s, "s0").orderBy("site").collect()] == [1.5, 3.0, 1.5, 1.5, 3.0, 1.5]
     axis = spark.createDataFrame([(0, i, x) for i, x in enumerate([0.0, 1.0, 2.0, 5.0])], "instance int, node int, x double")
     assert [r.weight for r in geometry.axis_weights(axis).orderBy("node").collect()] == [0.5, 1.0, 2.0, 1.5]
     again = geometry.with_weights(s, "s0")
@@ -112,21 +113,21 @@ def test_quadratic_and_mixed_cells_are_refused(spark):
 
 
 def test_time_series(spark):
-    s = transient(spark)
-    assert rows(trajectory.time_series(s, s.manifest.find("u"), trajectory=1, node=2).select("t", "v"), "t") == [(0.0, 332.0), (0.25, 342.0)]
+    s = two_runs(spark)
+    assert rows(trajectory.time_series(s, s.manifest.find("heat"), trajectory=1, node=2).select("t", "v"), "t") == [(0.0, 12.0), (0.5, 16.0), (0.75, 20.0), (2.0, 24.0)]
 
 
 def test_unaligned_instances(spark):
     s = two_supports(spark)
-    got = rows(joins.gather(s, s.manifest.find("s0/pressure")).select("row", "instance", F.col("values")[0]), "row")
-    assert got == [(0, 0, 100.0), (2, 1, 300.0)]
-    assert rows(joins.gather(s, s.manifest.find("s1/pressure")).select("row", "instance"), "row") == [(1, 0)]
-    assert rows(joins.support_of_rows(s), "row") == [(0, "s0"), (1, "s1"), (2, "s0")]
+    got = rows(joins.gather(s, s.manifest.find("s1/stress")).select("row", "instance", F.col("values")[0]), "row")
+    assert got == [(0, 0, 20.0), (2, 1, 40.0), (3, 2, 60.0)]
+    assert rows(joins.gather(s, s.manifest.find("s0/stress")).select("row", "instance"), "row") == [(1, 0)]
+    assert rows(joins.support_of_rows(s), "row") == [(0, "s1"), (1, "s0"), (2, "s1"), (3, "s1")]
 
 
 def test_group_varying_instances(spark):
-    s = mesh_two_rows(spark)
-    assert [r["values"][4] for r in joins.gather(s, s.manifest.find("coordinates")).orderBy("row").collect()] == [2.0, 3.0]
+    s = two_plates(spark)
+    assert [r["values"][6] for r in joins.gather(s, s.manifest.find("coordinates")).orderBy("row").collect()] == [0.0, 3.0]
 
 
 def test_split_worked_example(spark):
@@ -165,7 +166,7 @@ def test_prediction(spark):
     with pytest.raises(StudyError):
         models.prediction(s, s.manifest.find("cl_band"), keys)
     with pytest.raises(StudyError):
-        models.prediction(mesh_two_rows(spark), mesh_two_rows(spark).manifest.find("cl"), keys)
+        models.prediction(two_plates(spark), two_plates(spark).manifest.find("gain"), keys)
     with pytest.raises(StudyError, match="E39"):
         models.evaluate(s, spark.createDataFrame([(0, 0.5)], "row bigint, mach double"))
 
@@ -200,15 +201,15 @@ def test_append_and_replace(spark):
 
 
 def test_structural_difference(spark):
-    a, b = mesh_two_rows(spark), mesh_two_rows(spark)
+    a, b = two_plates(spark), two_plates(spark)
     assert mutate.structurally_equal(a, b)
-    nan = b.replace(rows=b.rows.withColumn("cl", F.when(F.col("row") == 1, F.lit(float("nan"))).otherwise(F.col("cl"))))
+    nan = b.replace(rows=b.rows.withColumn("gain", F.when(F.col("row") == 1, F.lit(float("nan"))).otherwise(F.col("gain"))))
     assert rows(mutate.structural_difference(a, nan), "path") == [("rows", "differs", 1)]
     assert mutate.structurally_equal(nan, nan)
 
 
 def test_write_open_round_trip(spark, tmp_path):
-    s = mesh_two_rows(spark)
+    s = two_plates(spark)
     path = str(tmp_path / "study")
     write_study(s, path)
     back = open_study(spark, path)
@@ -243,28 +244,28 @@ def test_bounds_and_categories(spark):
 
 
 def test_derived_difference(spark):
-    s = mesh_two_rows(spark)
+    s = two_plates(spark)
     got = mutate.derived_difference(s.payload(s.manifest.find("coordinates")).select("instance", "values"), 0)
-    assert got.where("instance = 1").first()["values"][4:6] == [1.0, 0.0]
+    assert got.where("instance = 1").first()["values"][6:8] == [3.0, 0.0]
 
 
 def test_shared_supports_and_bounds(spark):
-    assert ("s0", "s0") in joins.shared_supports(mesh_two_rows(spark), two_supports(spark))
+    assert ("s0", "s0") in joins.shared_supports(two_plates(spark), two_supports(spark))
     met = joins.bounds_intersection(spark.createDataFrame([("a", "x", 0.0, 2.0), ("b", "x", 1.0, 3.0), ("a", "y", 0.0, 1.0), ("b", "y", 2.0, 3.0)], "model string, key string, lower double, upper double"))
     assert rows(met, "key") == [("x", 1.0, 2.0, False), ("y", 2.0, 1.0, True)]
 
 
 def test_interval_of_stored_band(spark):
-    s = mesh_two_rows(spark)
-    band = Slot("cl_band", "row", units="1", statistic="band", of="cl", level=0.95, method="half")
-    s = s.replace(rows=s.rows.withColumn("cl_band", F.lit(0.5)), manifest=dataclasses.replace(s.manifest, slots=[*s.manifest.slots, band]))
-    got = models.interval(models.prediction(s, s.manifest.find("cl"))).orderBy("row").first()
-    assert (got["mean"], got["lower"], got["upper"]) == (0.25, -0.25, 0.75)
+    s = two_plates(spark)
+    band = Slot("gain_band", "row", units="1", statistic="band", of="gain", level=0.95, method="half")
+    s = s.replace(rows=s.rows.withColumn("gain_band", F.lit(0.5)), manifest=dataclasses.replace(s.manifest, slots=[*s.manifest.slots, band]))
+    got = models.interval(models.prediction(s, s.manifest.find("gain"))).orderBy("row").first()
+    assert (got["mean"], got["lower"], got["upper"]) == (1.5, 1.0, 2.0)
 
 
 def test_a_failed_write_leaves_the_version_before(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "study")
-    s = mesh_two_rows(spark)
+    s = two_plates(spark)
     with pytest.raises(StudyError):
         open_study(spark, path)
     write_study(s.with_manifest(notes={"n": "1"}), path)

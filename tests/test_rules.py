@@ -3,7 +3,7 @@
 import dataclasses
 
 import pytest
-from fixtures import affine, mesh_two_rows, transient, two_supports
+from fixtures import affine, two_plates, two_runs, two_supports
 from pyspark.sql import functions as F
 
 from fieldloom.plans import rules
@@ -43,37 +43,37 @@ def set_values(study, slot, f, instance=0):
 # faults of the declarations alone: (fault, ids that the manifest rules report)
 DECLARED = {
     "format": (lambda s: s.with_manifest(format="fieldloom/9"), ["E01"]),
-    "role": (lambda s: with_key(s, "mach", role=None), ["E02"]),
+    "role": (lambda s: with_key(s, "throttle", role=None), ["E02"]),
     "no unit group": (lambda s: s.with_manifest(generalisation_group=None), ["E39"]),
     "unit only in private": (lambda s: s.with_manifest(generalisation_group=None, private={"unit": "x"}), ["E18", "E39"]),
     "unknown group": (lambda s: with_slot(s, "coordinates", varies="group:x"), ["E04"]),
-    "units of a field": (lambda s: with_slot(s, "pressure", units=None), ["E11"]),
-    "statistic without of": (lambda s: with_slot(s, "pressure", statistic="mean"), ["E12"]),
-    "band without level": (lambda s: plus_slot(s, Slot("b", "row", units="1", statistic="band", of="cl", method="m")), ["E12"]),
-    "derived without recipe": (lambda s: with_slot(s, "pressure", role="derived"), ["E13"]),
-    "missing model": (lambda s: with_slot(s, "pressure", source="callable:m9", output="p"), ["E14"]),
+    "units of a field": (lambda s: with_slot(s, "stress", units=None), ["E11"]),
+    "statistic without of": (lambda s: with_slot(s, "stress", statistic="mean"), ["E12"]),
+    "band without level": (lambda s: plus_slot(s, Slot("b", "row", units="1", statistic="band", of="gain", method="m")), ["E12"]),
+    "derived without recipe": (lambda s: with_slot(s, "stress", role="derived"), ["E13"]),
+    "missing model": (lambda s: with_slot(s, "stress", source="callable:m9", output="p"), ["E14"]),
     "model without type": (lambda s: s.with_manifest(models=[Model("m", None)]), ["E15"]),
     "writer": (lambda s: s.with_manifest(writer=None), ["E17"]),
-    "bound not finite": (lambda s: with_key(s, "mach", upper=float("inf")), ["E19"]),
-    "components": (lambda s: with_slot(s, "pressure", components=None), ["E31"]),
+    "bound not finite": (lambda s: with_key(s, "throttle", upper=float("inf")), ["E19"]),
+    "components": (lambda s: with_slot(s, "stress", components=None), ["E31"]),
     "dictionary": (lambda s: s.with_manifest(models=[Model("m", "affine", "{")]), ["E32"]),
     "reserved name": (lambda s: s.with_manifest(keys=[Key("fieldloom_x", "condition", units="1"), *s.manifest.keys[1:]]), ["E33"]),
-    "source": (lambda s: with_slot(s, "pressure", source="model"), ["E36"]),
+    "source": (lambda s: with_slot(s, "stress", source="model"), ["E36"]),
     "aligned": (lambda s: s.with_manifest(aligned=False), ["E37"]),
     "mesh without cells": (lambda s: with_support(s, "s0", n_cells=0), ["E38"]),
-    "key without units": (lambda s: with_key(s, "mach", units=None), ["E39"]),
+    "key without units": (lambda s: with_key(s, "throttle", units=None), ["E39"]),
     "weight not recomputed": (lambda s: plus_slot(s, Slot("w", "node", "s0", "weight", "m2", "none")), ["W06"]),
-    "units": (lambda s: with_key(s, "mach", units="kg/(m s"), ["W10"]),
+    "units": (lambda s: with_key(s, "throttle", units="kg/(m s"), ["W10"]),
     "unknown attribute": (lambda s: s.with_manifest(extra={"x": "1"}), ["W11"]),
     "created": (lambda s: s.with_manifest(created="19/09/2026"), ["W14"]),
-    "two times": (lambda s: s.with_manifest(keys=[*s.manifest.keys, *(Key(n, "time", units="s", trajectory_group="member") for n in "tu")]), ["E03"]),
+    "two times": (lambda s: s.with_manifest(keys=[*s.manifest.keys, *(Key(n, "time", units="s", trajectory_group="plate") for n in "tu")]), ["E03"]),
     "two coordinates": (lambda s: plus_slot(s, Slot("c2", "node", "s0", "coordinates", "m", "none", 2)), ["E03"]),
 }
 
 
 @pytest.fixture(scope="module")
 def base(spark):
-    study = mesh_two_rows(spark)
+    study = two_plates(spark)
     return study.replace(rows=study.rows.cache(), slot_values=study.slot_values.cache(), cells=study.cells.cache(), categories=study.categories.cache())
 
 
@@ -93,23 +93,23 @@ def test_axis_that_varies(spark):
 
 STORED = {
     "nothing": (lambda s: s, []),
-    "five nodes": (lambda s: set_values(s, "pressure", lambda v: F.slice(v, 1, 5)), ["E05"]),
+    "five nodes": (lambda s: set_values(s, "stress", lambda v: F.slice(v, 1, 5)), ["E05"]),
     "digest": (lambda s: with_support(s, "s0", support_id="0" * 64), ["E08"]),
-    "unknown category": (lambda s: set_row(s, "member", 1, 2), ["E10", "W07"]),
+    "unknown category": (lambda s: set_row(s, "plate", 1, 2), ["E10", "W07"]),
     "row count": (lambda s: s.with_manifest(n_rows=3), ["E16"]),
-    "float key": (lambda s: s.replace(rows=s.rows.withColumn("mach", F.col("mach").cast("float"))), ["E20"]),
+    "float key": (lambda s: s.replace(rows=s.rows.withColumn("throttle", F.col("throttle").cast("float"))), ["E20"]),
     "cell type": (lambda s: s.replace(cells=s.cells.withColumn("cell_type", F.when(F.col("cell") == 1, 99).otherwise(9).cast("smallint"))), ["E08", "E21"]),
     "node count": (lambda s: s.replace(cells=s.cells.withColumn("cell_type", F.when(F.col("cell") == 1, 5).otherwise(9).cast("smallint"))), ["E08", "E22"]),
     "node": (lambda s: s.replace(cells=s.cells.withColumn("nodes", F.transform("nodes", lambda n: F.when(n == 5, 6).otherwise(n)))), ["E08", "E24"]),
-    "entry": (lambda s: s.replace(categories=s.categories.withColumn("entry", F.when(F.col("entry") == "inlet", F.lit("in\0et")).otherwise(F.col("entry")))), ["E26"]),
-    "no data": (lambda s: s.replace(slot_values=s.slot_values.where("slot <> 'pressure'")), ["E30"]),
-    "components": (lambda s: with_slot(s, "pressure", components=2), ["E31"]),
+    "entry": (lambda s: s.replace(categories=s.categories.withColumn("entry", F.when(F.col("entry") == "hot", F.lit("h\0t")).otherwise(F.col("entry")))), ["E26"]),
+    "no data": (lambda s: s.replace(slot_values=s.slot_values.where("slot <> 'stress'")), ["E30"]),
+    "components": (lambda s: with_slot(s, "stress", components=2), ["E31"]),
     "instances": (lambda s: s.replace(slot_values=s.slot_values.where("slot <> 'coordinates' OR instance = 0")), ["E34"]),
-    "not finite": (lambda s: set_row(s, "cl", 1, float("nan")), ["W03"]),
-    "field not finite": (lambda s: set_values(s, "pressure", lambda v: F.transform(v, lambda x: F.lit(float("inf")))), ["W03"]),
-    "outside": (lambda s: set_row(s, "mach", 1, 1.2), ["W04"]),
-    "stale": (lambda s: with_key(s, "mach", lower=-1000.0, upper=1000.0), ["W08"]),
-    "unused": (lambda s: set_row(s, "member", 1, 0), ["W07"]),
+    "not finite": (lambda s: set_row(s, "gain", 1, float("nan")), ["W03"]),
+    "field not finite": (lambda s: set_values(s, "stress", lambda v: F.transform(v, lambda x: F.lit(float("inf")))), ["W03"]),
+    "outside": (lambda s: set_row(s, "throttle", 1, 1.2), ["W04"]),
+    "stale": (lambda s: with_key(s, "throttle", lower=-1000.0, upper=1000.0), ["W08"]),
+    "unused": (lambda s: set_row(s, "plate", 1, 0), ["W07"]),
 }
 
 
@@ -120,9 +120,9 @@ def test_stored_faults(base, name):
 
 
 def test_time_that_does_not_grow(spark):
-    study = transient(spark)
+    study = two_runs(spark)
     assert ids(study) == []
-    assert ids(set_row(study, "t", 2, 0.1)) == ["E09"] and "E09" in ids(set_row(study, "t", 1, float("nan")))
+    assert ids(set_row(study, "t", 1, 1.0)) == ["E09"] and "E09" in ids(set_row(study, "t", 1, float("nan")))
 
 
 def test_row_supports(spark):
@@ -152,6 +152,6 @@ def test_statuses_and_leaks(spark):
 
 
 def test_report(base):
-    found = rules.findings(set_row(base, "cl", 1, float("nan")))
-    assert rules.report_text(found) == "W03 scalars/cl: not finite (1: 1)\n0 error(s), 1 warning(s)"
+    found = rules.findings(set_row(base, "gain", 1, float("nan")))
+    assert rules.report_text(found) == "W03 scalars/gain: not finite (1: 1)\n0 error(s), 1 warning(s)"
     assert rules.validate(base).count() == 0 and "rows 2" in rules.info_lines(base)

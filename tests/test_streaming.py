@@ -1,5 +1,5 @@
 import pytest
-from fixtures import transient
+from fixtures import two_runs
 
 from fieldloom.sources.study import StudyBuilder, StudyError, open_study, write_study
 from fieldloom.streaming.append import append_batch, falls_back, start_append
@@ -33,8 +33,8 @@ def test_stream_of_batches(spark, tmp_path):
 
 
 def test_time_across_batches(spark):
-    study = transient(spark)
-    late = spark.createDataFrame([(0, 0, 0.3), (1, 1, 0.3)], "row bigint, run int, t double")
+    study = two_runs(spark)
+    late = spark.createDataFrame([(0, 0, 2.5), (1, 1, 2.25)], "row bigint, run int, t double")
     assert [r.row for r in falls_back(study, late).collect()] == [0]
 
 
