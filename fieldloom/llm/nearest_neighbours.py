@@ -16,8 +16,9 @@ recall is in the README.
 Edge cases: vectors that are null, empty or zero, or hold a null or non-finite
 component, are neither queries nor candidates; vectors of different length are
 never compared; rows with one id and vector count once; ties go to the smaller
-id; a query with fewer candidates gets them all (those connected with it in the
-graph; up to ``2 * BLOCK`` vectors that is all of them); other columns are ignored.
+id; a query with fewer candidates gets them all; other columns are ignored.  A
+query whose part of the graph holds too few nodes (as where few vectors have its
+length) is compared with all nodes of its length, in blocks.
 """
 
 from __future__ import annotations
@@ -216,6 +217,17 @@ def greedy_search(starts: DataFrame, graph: DataFrame, nodes: DataFrame, beam: i
     return met.select("q", "node", "d")
 
 
+def compare_all(queries: DataFrame, nodes: DataFrame, keep: int, parts: int) -> DataFrame:
+    """(q, node, d): the ``keep`` nearest of ``queries`` (q, vector) among all nodes of the same length, which are cut into ``parts`` blocks."""
+    there = nodes.select("node", F.col("vector").alias("there"), F.size("vector").alias("length"), F.pmod(F.xxhash64("node"), F.lit(parts)).alias("block"))
+    asked = queries.select("q", "vector", F.size("vector").alias("length"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("block"))
+    found = asked.join(there, ["length", "block"]).select("q", "block", "node", distance(F.col("vector"), F.col("there")).alias("d"))
+    for keys in (["q", "block"], ["q"]):
+        order = Window.partitionBy(*keys).orderBy("d", "node")
+        found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep).drop("place")
+    return found.select("q", "node", "d")
+
+
 def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, degree: int = 44, rounds: int = 7, beam: int = 96, width: int = 16, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """The ``k`` nearest of each row whose id is divisible by ``every``.
 
@@ -234,6 +246,10 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, degree
     queries = belongs.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("node").alias("q"))
     starts = checkpointed(queries.select("q").distinct().join(nodes.select(F.col("node").alias("q"), "vector"), "q"))
     met = greedy_search(starts, checkpointed(graph), nodes.select("node", "vector"), beam, width)
+    enough = met.groupBy("q").count().where(F.col("count") > k)
+    short = checkpointed(starts.join(enough, "q", "left_anti"))
+    if short.limit(1).count():
+        met = met.join(short.select("q"), "q", "left_anti").unionByName(compare_all(short, nodes.select("node", "vector"), k + 1, parts))
     close = met.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("d", "node"))).where(F.col("place") <= k + 1).select("q", "node", F.col("d").alias("score"))
     found = queries.join(close, "q").join(belongs.where(F.col("place") <= k + 1).select("node", "vec_id"), "node").where(F.col("vec_id") != F.col("query_id"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))

@@ -187,6 +187,18 @@ def test_fewer_candidates_and_none(spark):
     assert nearest_neighbours.nearest_neighbours(frame.limit(0)).count() == 0
 
 
+def test_graph_in_many_parts(spark):
+    """Each part of the graph holds three nodes, and some lengths have few vectors: still k rows, or all."""
+    points = {3 * c + j: [100.0 * c + 1, 0.125 * j, 1.0] for c in range(10) for j in range(3)} | {60: [1.0, 2.0], 61: [1.0, 4.0], 63: [5.0]}
+    frame = spark.createDataFrame(list(points.items()), "vec_id long, embedding array<double>")
+    got = nearest_neighbours.nearest_neighbours(frame, every=3, k=5, degree=2).collect()
+    expected = []
+    for q in (i for i in points if i % 3 == 0):
+        near = sorted((math.dist(points[q], v), i) for i, v in points.items() if i != q and len(v) == len(points[q]))
+        expected += [(q, rank, i, d) for rank, (d, i) in enumerate(near[:5], 1)]
+    assert sorted(map(tuple, got)) == sorted(expected)
+
+
 def test_recall(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(20, 16))
