@@ -228,7 +228,7 @@ def compare_all(queries: DataFrame, nodes: DataFrame, keep: int, parts: int) ->
     return found.select("q", "node", "d")
 
 
-def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, degree: int = 44, rounds: int = 7, beam: int = 96, width: int = 16, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, degree: int = 44, rounds: int = 7, beam: int = 96, width: int = 96, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """The ``k`` nearest of each row whose id is divisible by ``every``.
 
     Returns query_id, rank from 1, vec_id, score.
