@@ -12,14 +12,19 @@ from pyspark.sql import functions as F
 from fieldloom.functions.names import varies_group
 from fieldloom.operators.ordering import numbered
 from fieldloom.sources.manifest import CONVERGED, Slot
+from fieldloom.sources.staging import stored
 from fieldloom.sources.study import Study, StudyError
 
 
 def category_table(frame: DataFrame, column: str, name: str) -> DataFrame:
-    """The distinct values of a string column in byte order, numbered from 0."""
+    """The distinct values of a string column in byte order, numbered from 0.
+
+    It is stored, so that Spark sees its true size: a short one is broadcast, and
+    rows aren't dealt to a task for each of a few values.
+    """
     values = frame.where(F.col(column).isNotNull()).select(F.col(column).alias("entry")).distinct()
     number = F.row_number().over(Window.orderBy("entry")) - 1
-    return values.select(F.lit(name).alias("table_name"), number.cast("int").alias("id"), "entry")
+    return stored(values.select(F.lit(name).alias("table_name"), number.cast("int").alias("id"), "entry"))
 
 
 def encode_category(frame: DataFrame, column: str, table: DataFrame, to: str) -> DataFrame:

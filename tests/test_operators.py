@@ -280,3 +280,16 @@ def test_a_failed_write_leaves_the_version_before(spark, tmp_path, monkeypatch):
     assert open_study(spark, path).manifest.notes["n"] == "1"
     write_study(s.with_manifest(notes={"n": "3"}), path)
     assert open_study(spark, path).manifest.notes["n"] == "3"
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_categories_are_broadcast(spark):
+    from fieldloom.plans import bind
+
+    many = spark.range(3_000_000).select(F.col("id").alias("row"), F.concat(F.lit("f"), (F.col("id") % 3).cast("string")).alias("flag"))
+    table = joins.category_table(many, "flag", "flag")
+    assert rows(table, "id") == [("flag", 0, "f0"), ("flag", 1, "f1"), ("flag", 2, "f2")]
+    assert "BroadcastHashJoin" in (plan := plan_of(bind._coded(many, "flag", table, "code"))) and "SortMergeJoin" not in plan
