@@ -49,7 +49,7 @@ def unknown_categories(frame: DataFrame, column: str, entries: DataFrame) -> Dat
 
 def unused_categories(frame: DataFrame, column: str, entries: DataFrame) -> DataFrame:
     """Entries that no row uses."""
-    return entries.join(frame.select(F.col(column).alias("__used")), F.col("id") == F.col("__used"), "left_anti")
+    return entries.join(frame.select(F.col(column).alias("__used")).distinct(), F.col("id") == F.col("__used"), "left_anti")
 
 
 def support_of_rows(study: Study) -> DataFrame:

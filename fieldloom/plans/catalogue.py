@@ -527,7 +527,7 @@ def rule_w08(spark, d):
 def rule_w15(spark, d):
     s = bind.orders_unaligned(spark, d)
     names = spark.createDataFrame([(0, "long"), (1, "other"), (2, "short")], "ix int, name string")
-    return _rule(names.join(s.rows.select((F.col("support_ix") * 2).alias("used")), F.col("ix") == F.col("used"), "left_anti"), "W15", "supports", "ix")
+    return _rule(names.join(s.rows.select((F.col("support_ix") * 2).alias("used")).distinct(), F.col("ix") == F.col("used"), "left_anti"), "W15", "supports", "ix")
 
 
 @query

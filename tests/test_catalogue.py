@@ -37,3 +37,8 @@ def test_query(spark, database, name):
     assert sorted(names) == columns
     wanted = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in cursor.fetchall()), key=repr)
     assert found == wanted
+
+
+def test_rows_of_a_support_are_counted_once_before_the_join(spark):
+    plan = QUERIES["rule_w15"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[used" in plan

@@ -293,3 +293,9 @@ def test_few_categories_are_broadcast(spark):
     table = joins.category_table(many, "flag", "flag")
     assert rows(table, "id") == [("flag", 0, "f0"), ("flag", 1, "f1"), ("flag", 2, "f2")]
     assert "BroadcastHashJoin" in (plan := plan_of(bind._coded(many, "flag", table, "code"))) and "SortMergeJoin" not in plan
+
+
+def test_used_entries_meet_once(spark):
+    many = spark.range(3_000_000).select((F.col("id") % 2).cast("int").alias("k"))
+    unused = joins.unused_categories(many, "k", spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "id int, entry string"))
+    assert "HashAggregate(keys=[__used" in plan_of(unused) and [r.id for r in unused.collect()] == [2]
