@@ -19,7 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _entries(spark: SparkSession, name: str, values: list[str]) -> DataFrame:
-    return spark.createDataFrame([(name, i, v) for i, v in enumerate(values)], CATEGORIES)
+    rows = [F.struct(F.lit(name).alias("table_name"), F.lit(i).alias("id"), F.lit(v).alias("entry")) for i, v in enumerate(values)]
+    # not from a local list, whose size Spark doesn't know: rows would be shuffled by a few keys to meet it
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def _coded(frame: DataFrame, column: str, categories: DataFrame, to: str) -> DataFrame:

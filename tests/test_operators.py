@@ -295,6 +295,15 @@ def test_few_categories_are_broadcast(spark):
     assert "BroadcastHashJoin" in (plan := plan_of(bind._coded(many, "flag", table, "code"))) and "SortMergeJoin" not in plan
 
 
+def test_listed_entries_are_broadcast(spark):
+    from fieldloom.plans import bind
+
+    entries = bind._entries(spark, "status", ["converged", "failed"])
+    assert rows(entries, "id") == [("status", 0, "converged"), ("status", 1, "failed")] and [t for _, t in entries.dtypes] == ["string", "int", "string"]
+    many = spark.range(3_000_000).select((F.col("id") % 2).cast("int").alias("status"))
+    assert "SortMergeJoin" not in plan_of(joins.decode_category(many, "status", entries, "name"))
+
+
 def test_used_entries_meet_once(spark):
     many = spark.range(3_000_000).select((F.col("id") % 2).cast("int").alias("k"))
     unused = joins.unused_categories(many, "k", spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "id int, entry string"))
