@@ -21,16 +21,22 @@ DIMENSION = {1: 0, 3: 1, 5: 2, 7: 2, 9: 2, 10: 3, 12: 3, 13: 3, 14: 3}
 # Tetrahedra that fill each solid cell, by local node.
 TETRAHEDRA = {10: ((0, 1, 2, 3),), 12: ((0, 1, 2, 6), (0, 2, 3, 6), (0, 3, 7, 6), (0, 7, 4, 6), (0, 4, 5, 6), (0, 5, 1, 6)), 13: ((0, 1, 2, 3), (1, 2, 3, 4), (2, 3, 4, 5)), 14: ((0, 1, 2, 4), (0, 2, 3, 4))}
 
+# Most cells, on average, whose corners meet in one task.
+CELLS = 1 << 16
+
 
 def corner_points(cells: DataFrame, points: DataFrame) -> DataFrame:
     """cells (cell, cell_type, nodes) with ``pts``, one (x, y, z) per corner, in order.
 
     ``points``: [instance,] node, x, y, z.  Each corner is joined to its node;
-    the corners of a cell meet again by its number.
+    the corners of a cell meet again by its number.  The cells are dealt to tasks
+    by their count first: a small file can hold many, and each has many corners.
+    The nodes are never broadcast, as they grow with the mesh.
     """
     keys = ["instance"] if "instance" in points.columns else []
-    corners = cells.select("cell", "cell_type", F.size("nodes").alias("k"), F.posexplode("nodes").alias("at", "node"))
-    met = corners.join(points.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"))
+    dealt = cells.repartition(max(1, -(-cells.count() // CELLS)), "cell")
+    corners = dealt.select("cell", "cell_type", F.size("nodes").alias("k"), F.posexplode("nodes").alias("at", "node"))
+    met = corners.join(points.withColumnRenamed("node", "__node").hint("merge"), F.col("node") == F.col("__node"))
     packed = F.transform(F.array_sort(F.collect_list(F.struct("at", "x", "y", "z"))), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), c["z"].alias("z")))
     return met.groupBy(*keys, "cell").agg(F.first("cell_type").alias("cell_type"), F.first("k").alias("k"), packed.alias("pts"))
 

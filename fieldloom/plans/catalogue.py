@@ -132,7 +132,7 @@ def node_weights(spark, d):
 @query
 def integrate_mesh(spark, d):
     weights, points = _node_weights(spark, d)
-    met = points.select(F.col("node").alias("__node"), "price", "kind").join(weights, F.col("node") == F.col("__node"))
+    met = points.select(F.col("node").alias("__node"), "price", "kind").hint("merge").join(weights, F.col("node") == F.col("__node"))
     good = F.when(finite(F.col("price")), F.col("price") * F.col("weight"))
     return met.groupBy("kind").agg(F.round(F.sum(good), 4).alias("integral"), F.round(F.sum("weight"), 6).alias("area"))
 
@@ -594,7 +594,7 @@ def exact_texts(spark, d):
 def cell_measure_kinds(spark, d):
     quads, points = bind.part_mesh(spark, d)
     parts = bind.table(spark, d, "part").select(F.col("p_partkey").alias("node"), (F.col("p_size") * 0.01).alias("z"))
-    lifted = points.drop("z").join(parts, "node").select("node", "x", "y", "z")
+    lifted = points.drop("z").join(parts.hint("merge"), "node").select("node", "x", "y", "z")
     cells = None
     for code, corners in ((3, 2), (5, 3), (10, 4)):
         kind = quads.select((F.col("cell") * 16 + code).alias("cell"), F.lit(code).cast("smallint").alias("cell_type"), F.slice("nodes", 1, corners).alias("nodes"))

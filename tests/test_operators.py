@@ -1,5 +1,6 @@
 import dataclasses
 import math
+import re
 
 import pytest
 from fixtures import MESH6_ID, affine, draws, rotors, two_plates, two_runs, two_supports
@@ -308,3 +309,12 @@ def test_used_entries_meet_once(spark):
     many = spark.range(3_000_000).select((F.col("id") % 2).cast("int").alias("k"))
     unused = joins.unused_categories(many, "k", spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "id int, entry string"))
     assert "HashAggregate(keys=[__used" in plan_of(unused) and [r.id for r in unused.collect()] == [2]
+
+
+def test_corners_are_dealt_by_the_count_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(geometry, "CELLS", 10)
+    points = spark.range(102).select(F.col("id").alias("node"), F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    cells = spark.range(100).coalesce(1).select(F.col("id").alias("cell"), F.lit(3).cast("smallint").alias("cell_type"), F.array("id", F.col("id") + 2).alias("nodes"))
+    met = geometry.corner_points(cells, points)
+    assert re.search(r"hashpartitioning\(cell#\d+L, 10\)", plan := plan_of(met)) and "BroadcastHashJoin" not in plan
+    assert {(r.m, r.n) for r in met.groupBy(geometry.cell_measure(F.col("pts"), F.col("cell_type")).alias("m")).agg(F.count("*").alias("n")).collect()} == {(2.0, 100)}
