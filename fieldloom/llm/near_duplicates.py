@@ -58,6 +58,8 @@ GROUP = 10
 PARITY_BITS = 1024
 #: Larger buckets are compared block by block.
 BLOCK_ROWS = 4096
+#: Bytes of text whose shingles are held at once.
+CHUNK_BYTES = 1 << 19
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -66,6 +68,10 @@ def text_key() -> Column:
     return F.xxhash64(F.col("text").cast("string"))
 
 
+def pieces(column: pa.Array) -> Iterator[Chunk]:
+    return chunks(column, SPACED_LOWER, size=CHUNK_BYTES)
+
+
 def shingle_sets(c: Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, shingle) without repeats, sorted by row and shingle."""
     at = run_starts(c.first, width)
@@ -121,7 +127,7 @@ def describe_and_count(docs: DataFrame, width: int, rule: KeyRule = KeyRule()) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         for batch in batches:
-            for c in chunks(batch.column(2), SPACED_LOWER):
+            for c in pieces(batch.column(2)):
                 rows, values = shingle_sets(c, width)
                 sizes, one, two = _set_keys(c.n, rows, values, rule)
                 np.add.at(cells, (values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
@@ -187,7 +193,7 @@ def prefix_postings(docs: DataFrame, width: int, threshold: Fraction, classes, r
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = classes.value
         for batch in batches:
-            for c in chunks(batch.column(0), SPACED_LOWER):
+            for c in pieces(batch.column(0)):
                 rows, values = shingle_sets(c, width)
                 sizes, node, _ = _set_keys(c.n, rows, values, rule)
                 begin = np.cumsum(sizes) - sizes
@@ -385,7 +391,7 @@ def described_nodes(docs: DataFrame, width: int, nodes: DataFrame, whole: bool,
         for batch in batches:
             batch = batch.filter(pa.array(may_contain(maybe.value, batch.column(0).to_numpy(zero_copy_only=False))))
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for c in chunks(batch.column(1), SPACED_LOWER):
+            for c in pieces(batch.column(1)):
                 rows, values = shingle_sets(c, width)
                 sizes, node, _ = _set_keys(c.n, rows, values, rule)
                 begin = np.cumsum(sizes) - sizes

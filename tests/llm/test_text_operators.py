@@ -542,3 +542,13 @@ def test_gradient():
         up = loss(p)
         p[name][at] -= 2e-5
         assert math.isclose((up - loss(p)) / 2e-5, moved[name][at], rel_tol=1e-4, abs_tol=1e-7), (name, at)
+
+
+def test_shingles_of_few_bytes_are_held_at_once():
+    import pyarrow as pa
+
+    from fieldloom.llm import near_duplicates
+
+    text = pa.array(["one two three four five six " * 400] * 300)
+    seen = list(near_duplicates.pieces(text))
+    assert sum(c.n for c in seen) == 300 and max(len(c.data) for c in seen) <= 1 << 19
