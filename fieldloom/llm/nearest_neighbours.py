@@ -199,21 +199,22 @@ def build_graph(nodes: DataFrame, degree: int, rounds: int, parts: int) -> DataF
 def greedy_search(starts: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int, width: int) -> DataFrame:
     """(q, node, d): what the queries have met; ``starts``: q, vector of query nodes."""
     around = checkpointed(graph.select("u", "v").unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    met = checkpointed(starts.select("q", F.col("q").alias("node"), F.lit(0.0).alias("d"), F.lit(False).alias("done")))
     order = Window.partitionBy("q").orderBy("d", "node")
-    while True:  # ends, as every round expands nodes that weren't
+
+    def marked(met: DataFrame) -> DataFrame:
+        """Adds ``go``: the nodes to expand next.  One job a round: the driver keeps something of each."""
         ranked = met.withColumn("place", F.row_number().over(order))
-        turn = Window.partitionBy("q").orderBy("place")
-        chosen = ranked.where((F.col("place") <= beam) & ~F.col("done")).withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= width).select("q", "node")
-        chosen = checkpointed(chosen)
-        if not chosen.limit(1).count():
-            break
-        reached = chosen.join(around, F.col("node") == F.col("u")).select("q", F.col("v").alias("node")).distinct()
+        waits = (F.col("place") <= beam) & ~F.col("done")
+        turn = F.sum(waits.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return checkpointed(ranked.withColumn("go", waits & (turn <= width)).drop("place"))
+
+    met = marked(starts.select("q", F.col("q").alias("node"), F.lit(0.0).alias("d"), F.lit(False).alias("done")))
+    while not met.where("go").isEmpty():  # ends, as every round expands nodes that weren't
+        reached = met.where("go").select("q", "node").join(around, F.col("node") == F.col("u")).select("q", F.col("v").alias("node")).distinct()
         new = reached.join(met.select("q", "node"), ["q", "node"], "left_anti")
         vectors = nodes.select("node", F.col("vector").alias("there"))
         new = new.join(vectors, "node").join(starts, "q").select("q", "node", distance(F.col("vector"), F.col("there")).alias("d"), F.lit(False).alias("done"))
-        marked = met.join(chosen.withColumn("now", F.lit(True)), ["q", "node"], "left").select("q", "node", "d", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        met = checkpointed(marked.unionByName(new))
+        met = marked(met.select("q", "node", "d", (F.col("done") | F.col("go")).alias("done")).unionByName(new))
     return met.select("q", "node", "d")
 
 

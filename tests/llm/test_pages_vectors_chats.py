@@ -322,3 +322,15 @@ def test_held_out_conversations_come_back(spark):
     right = sum(a == b for c in got for a, b in zip(got[c], truth[c], strict=False))
     total = sum(len(truth[c]) for c in got)
     assert len(got) > 10 and right >= 0.97 * total, (right, total)
+
+
+def test_search_stores_one_table_a_round(spark, monkeypatch):
+    calls = []
+    kept = nearest_neighbours.checkpointed
+    monkeypatch.setattr(nearest_neighbours, "checkpointed", lambda frame: calls.append(1) or kept(frame))
+    nodes = spark.createDataFrame([(i, [float(i + 1)]) for i in range(6)], "node bigint, vector array<double>")
+    graph = spark.createDataFrame([(i, i + 1, 1.0) for i in range(5)], "u bigint, v bigint, d double")
+    starts = nodes.where("node = 0").select("node", "vector").withColumnRenamed("node", "q")
+    met = nearest_neighbours.greedy_search(starts, graph, nodes, 96, 16)
+    assert {(r.node, r.d) for r in met.collect()} == {(i, float(i)) for i in range(6)}
+    assert len(calls) <= 2 + 6  # the graph, the start, and each node of the line in a round of its own
