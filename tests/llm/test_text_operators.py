@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.llm import decontaminate, language_id, mixing, near_duplicates, recurrent_lm, substring_dedup
+from fieldloom.llm.components import connected_components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SPACED = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -287,6 +288,47 @@ def test_sets_whose_keys_clash(corpus):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def tasks_of(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return out, sum(info.numTasks for info in map(tracker.getStageInfo, stages) if info)
+
+
+@pytest.mark.parametrize("part_links", [0, 7, 64])
+def test_components_of_links(spark, part_links):
+    """Chains, stars and a ring in parts of several sizes, against a plain walk."""
+    rng = random.Random(5)
+    links = [(i, i + 1) for i in range(100, 160)] + [(500 + i, 500) for i in range(1, 40)] + [(i, 900 + (i - 899) % 20) for i in range(900, 920)]
+    links += [(rng.randrange(2000, 2200), rng.randrange(2000, 2200)) for _ in range(90)] + [(-9, 7), (7, 7), (3, 3), (-9, 7), (2**62, -(2**62))]
+    rng.shuffle(links)
+    least = {x: x for a, b in links if a != b for x in (a, b)}
+    for _ in least:
+        for a, b in links:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    frame = spark.createDataFrame(links, "a long, b long").repartition(3)
+    assert as_rows(connected_components(frame, part_links=part_links), "node", "component") == sorted(least.items(), key=repr)
+    assert connected_components(frame.where("a = b"), part_links=part_links).count() == 0
+
+
+def test_components_take_tasks_by_their_links(spark):
+    """A few links don't become a task and a file for every shuffle partition."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        _, tasks = tasks_of(spark, "components", lambda: connected_components(links))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert 0 < tasks < 20
+
+
 def test_words_that_a_polynomial_confuses(spark):
     """Two words of 1,024 letters that hash alike by any polynomial modulo 2**64."""
     one = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
